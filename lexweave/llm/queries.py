@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from lexweave.llm.leakage import leaked_passages
+from lexweave.llm.packing import pack_documents, packing_summary
+from lexweave.session import table
+
+
+def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
+    """``max_size`` and ``overlap_size`` of an item kind."""
+    row = table(spark, sf_dir, "size_limits").where(f"item_kind = '{kind}'").first()
+    return row["max_size"], row["overlap_size"]
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), limit_of(spark, sf_dir, "document")[0])
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_summary(p7_containers(spark, sf_dir), limit_of(spark, sf_dir, "document")[0])
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_coverage(spark, sf_dir).select("item_id", "doc_id")
+
+
+QUERIES = {
+    "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
+    "p8_found": p8_found,
+    "p8_coverage": p8_coverage,
+}
+
+SQL: dict[str, str] = {}
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
