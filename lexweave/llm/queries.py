@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.leakage import leaked_passages
 from lexweave.llm.packing import pack_documents, packing_summary
+from lexweave.llm.sentences import split_sentences
 from lexweave.session import table
 
 
@@ -31,11 +32,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_coverage(spark, sf_dir).select("item_id", "doc_id")
 
 
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_sentences(spark, sf_dir).select("doc_id", "sent_end")
+
+
 QUERIES = {
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 
 SQL: dict[str, str] = {}
