@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexweave.llm.leakage import leaked_passages
 from lexweave.llm.packing import pack_documents, packing_summary
+from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
+from lexweave.llm.splitting import distinct_pieces, oversized, split_items
 from lexweave.session import table
 
 
@@ -16,6 +19,28 @@ def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return row["max_size"], row["overlap_size"]
 
 
+def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "legal_parent_contract_v1").select(F.lit("parent").alias("item_kind"), F.col("external_parent_id").alias("item_id"), "content")
+    children = table(spark, sf_dir, "legal_child_v2").select(F.lit("child").alias("item_kind"), F.col("child_id").alias("item_id"), "content")
+    return parents.unionByName(children)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(split_items(_sized_items(spark, sf_dir), table(spark, sf_dir, "size_limits")))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_pieces(split_items(_sized_items(spark, sf_dir), table(spark, sf_dir, "size_limits")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_blocks(table(spark, sf_dir, "block_decisions"), table(spark, sf_dir, "duplicate_groups"))
+
+
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_documents(table(spark, sf_dir, "block_decisions"), table(spark, sf_dir, "duplicate_groups"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), limit_of(spark, sf_dir, "document")[0])
 
@@ -41,6 +66,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_documents": p6_documents,
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
     "p8_found": p8_found,
@@ -49,7 +78,44 @@ QUERIES = {
     "p9_sentences": p9_sentences,
 }
 
-SQL: dict[str, str] = {}
+_LINES = """
+WITH listed AS (
+  SELECT document_identity, o AS original_block_order, min(normalized_text) AS t
+  FROM (SELECT document_identity, unnest(block_orders) AS o, normalized_text FROM duplicate_groups WHERE normalized_text IS NOT NULL) GROUP BY 1, 2),
+raw AS (
+  SELECT source_site, b.document_identity, b.original_block_order, coalesce(text_preview, t) AS line
+  FROM block_decisions b LEFT JOIN listed l ON l.document_identity = b.document_identity AND l.original_block_order = b.original_block_order
+  WHERE b.document_identity IS NOT NULL),
+lines AS (
+  SELECT DISTINCT source_site, document_identity, original_block_order,
+    regexp_replace(regexp_replace(lower(translate(line, '{wide}', '{plain}')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g'), '\\p{{Nd}}+', '0', 'g') AS k
+  FROM raw WHERE line IS NOT NULL),
+sizes AS (SELECT source_site, count(DISTINCT document_identity) AS n FROM block_decisions GROUP BY 1),
+often AS (
+  SELECT l.source_site, k FROM lines l JOIN sizes s ON s.source_site IS NOT DISTINCT FROM l.source_site
+  WHERE k <> '' GROUP BY l.source_site, k, s.n HAVING count(DISTINCT document_identity) >= 3 AND count(DISTINCT document_identity) * 5 >= s.n),
+gone AS (
+  SELECT DISTINCT document_identity, original_block_order FROM lines l JOIN often f ON f.k = l.k AND f.source_site IS NOT DISTINCT FROM l.source_site)
+""".format(wide=WIDE.replace("'", "''"), plain=PLAIN.replace("'", "''"))
+
+SQL: dict[str, str] = {
+    "p4_found": """
+SELECT DISTINCT 'parent' AS item_kind, external_parent_id AS item_id FROM legal_parent_contract_v1
+WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'parent')
+UNION ALL
+SELECT DISTINCT 'child', child_id FROM legal_child_v2 WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'child')""",
+    "p6_found": _LINES + "SELECT * FROM gone",
+    "p6_documents": _LINES + """
+, latest AS (
+  SELECT document_identity, original_block_order, arg_max(text_preview, (decided_at, coalesce(text_preview, ''))) AS text_preview
+  FROM (SELECT DISTINCT document_identity, original_block_order, decided_at, text_preview FROM block_decisions) GROUP BY 1, 2)
+SELECT a.document_identity, count(*) FILTER (g.document_identity IS NULL) AS n_kept, count(g.document_identity) AS n_removed,
+  coalesce(string_agg(coalesce(text_preview, t), chr(10) ORDER BY a.original_block_order) FILTER (g.document_identity IS NULL), '') AS text
+FROM latest a
+LEFT JOIN listed l ON l.document_identity = a.document_identity AND l.original_block_order = a.original_block_order
+LEFT JOIN gone g ON g.document_identity = a.document_identity AND g.original_block_order = a.original_block_order
+GROUP BY 1""",
+}
 
 
 def queries() -> dict:
