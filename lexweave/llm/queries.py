@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.leakage import leaked_passages
+from lexweave.llm.lookalikes import consistent_texts, needed_repair
 from lexweave.llm.packing import pack_documents, packing_summary
 from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
@@ -33,6 +34,23 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_pieces(split_items(_sized_items(spark, sf_dir), table(spark, sf_dir, "size_limits")))
 
 
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "legal_parent_contract_v1").select(F.lit("parent").alias("item_kind"), F.col("external_parent_id").alias("item_id"), F.col("content").alias("text"))
+    verdicts = table(spark, sf_dir, "citation_verdicts").select(F.lit("verdict").alias("item_kind"), F.col("verdict_id").cast("string").alias("item_id"), F.col("law").alias("text"))
+    titles = table(spark, sf_dir, "law_titles").select(F.col("title").alias("text"))
+    items = parents.unionByName(verdicts)
+    return consistent_texts(items, items.select("text").unionByName(titles))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = p5_texts(spark, sf_dir)
+    titles = table(spark, sf_dir, "law_titles").select("title").distinct()
+    parents = texts.filter((F.col("item_kind") == "parent") & needed_repair()).select("item_kind", "item_id")
+    laws = texts.filter((F.col("item_kind") == "verdict") & (F.col("text") != F.col("consistent")))
+    same = laws.join(titles, F.col("consistent") == F.col("title"), "left_semi").join(titles, F.col("text") == F.col("title"), "left_anti")
+    return parents.unionByName(same.select("item_kind", "item_id")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_blocks(table(spark, sf_dir, "block_decisions"), table(spark, sf_dir, "duplicate_groups"))
 
@@ -68,6 +86,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p6_found": p6_found,
     "p6_documents": p6_documents,
     "p7_containers": p7_containers,
