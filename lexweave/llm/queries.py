@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.leakage import leaked_passages
 from lexweave.llm.lookalikes import consistent_texts, needed_repair
+from lexweave.llm.neardup import alike_pairs, duplicate_classes
 from lexweave.llm.packing import pack_documents, packing_summary
 from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
@@ -20,6 +21,18 @@ def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return row["max_size"], row["overlap_size"]
 
 
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "legal_parent_contract_v1").select(F.col("external_parent_id").alias("record_id"), F.col("content").alias("text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alike_pairs(_parents(spark, sf_dir))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(_parents(spark, sf_dir))
+
+
 def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = table(spark, sf_dir, "legal_parent_contract_v1").select(F.lit("parent").alias("item_kind"), F.col("external_parent_id").alias("item_id"), "content")
     children = table(spark, sf_dir, "legal_child_v2").select(F.lit("child").alias("item_kind"), F.col("child_id").alias("item_id"), "content")
@@ -84,6 +97,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
