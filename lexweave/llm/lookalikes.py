@@ -7,10 +7,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.llm.codes import code_points, slices
+from lexweave.session import materialize
+
 # fixed values: letters that look like Latin ones, in the order of their alphabets
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜ" "аеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYXGQW" "aesijopcyxhdqwv")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "αγικνορτυχ", "ABEZHIKMNOPTYX" "ayikvoptux")
@@ -18,18 +22,9 @@ ARMENIAN = ("ՍՕ" "ոսօհց", "UO" "nuohg")
 LATIN_OF = {a: b for foreign, latin in (CYRILLIC, GREEK, ARMENIAN) for a, b in zip(foreign, latin)}
 FOREIGN_OF = {"CYRILLIC": {b: a for a, b in zip(*CYRILLIC)}, "GREEK": {b: a for a, b in zip(*GREEK)}, "ARMENIAN": {b: a for a, b in zip(*ARMENIAN)}}
 
-_INVISIBLE = r"\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\ufe00-\ufe0f"
-_SPACES = r"\u00a0\u2000-\u200a\u202f\u205f"
-_FOREIGN = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}"
-#: Texts without a match are already in the consistent form.
-SUSPECT = (
-    rf"[{_INVISIBLE}{_SPACES}]|\p{{L}}[\u0300-\u036f\u3099\u309a]"
-    r"|[０-９Ａ-Ｚａ-ｚ\uff66-\uffdc\u2e9f\u2ef3\u2f00-\u2fd5\u2102-\u214f\u2160-\u217f]"
-    r"|[豈-\ufaff\ufb00-\ufb06\ufb13-\ufb17\ufb1f-\ufdfc\ufe70-\ufefc]|[\x{1D400}-\x{1D7FF}\x{2F800}-\x{2FA1D}]"
-    rf"|\p{{IsLatin}}\p{{M}}*[{_FOREIGN}]|[{_FOREIGN}]\p{{M}}*\p{{IsLatin}}"
-)
 _TAGS = {"<font>", "<wide>", "<narrow>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _JOINERS = re.compile("(?<=[\u0600-\u0dff])[\u200c\u200d](?=[\u0600-\u0dff])|(?<=[☀-➿\U0001F300-\U0001FAFF\ufe0f])\u200d")
+WORDS = "[a-zß-öø-ɏḀ-ỿ]{2,}|[Ѐ-ԯ]{2,}|[Ͱ-Ͽἀ-῿]{2,}|[԰-֏]{2,}"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,6 +58,25 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0]
 
 
+@functools.cache
+def _suspects() -> np.ndarray:
+    """Per code point of the first plane, and once for all beyond it, whether it may need a repair."""
+    out = np.zeros(0x10001, dtype=bool)
+    for o in range(0x80, 0x10000):
+        c = chr(o)
+        foreign = 0x370 <= o < 0x590 or 0x1F00 <= o < 0x2000
+        out[o] = foreign or 0x300 <= o < 0x370 or o in (0x3099, 0x309A) or not 0xD800 <= o < 0xE000 and _class(c) != ""
+    out[0x10000] = True
+    return out
+
+
+def suspect_rows(column: pa.Array) -> np.ndarray:
+    """Which texts hold a character that may need a repair; all others are in the consistent form."""
+    codes, starts = code_points(column)
+    hits = np.concatenate(([0], np.cumsum(_suspects()[np.minimum(codes, 0x10000)])))
+    return hits[starts[1:]] > hits[starts[:-1]]
+
+
 def fold(text: str) -> tuple[str, list[str]]:
     """The text without foreign widths, forms, marks and invisible characters, and the repairs it needed.
 
@@ -110,7 +124,7 @@ def respell(word: str) -> str | None:
 
 
 def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.take(pa.array(np.flatnonzero(suspect_rows(b.column("text"))))) for whole in batches for b in slices(whole, "text")):
         texts, repairs, words = [], [], []
         for text in batch.column("text").to_pylist():
             folded, needed = fold(text)
@@ -119,7 +133,12 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repairs.append(needed)
             words.append([{"word": w, "spelling": r} for w, r in sorted(mixed.items())])
         kind = pa.list_(pa.struct([("word", pa.string()), ("spelling", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column("item_kind"), batch.column("item_id"), batch.column("digest"), pa.array(texts, pa.string()), pa.array(repairs, pa.list_(pa.string())), pa.array(words, kind)], ["item_kind", "item_id", "digest", "folded", "repairs", "mixed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("item_kind", "item_id", "digest", "text")), pa.array(texts, pa.string()), pa.array(repairs, pa.list_(pa.string())), pa.array(words, kind)], ["item_kind", "item_id", "digest", "text", "folded", "repairs", "mixed"])
+
+
+def _plain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b for whole in batches for b in slices(whole, "text")):
+        yield batch.take(pa.array(np.flatnonzero(~suspect_rows(batch.column("text")))))
 
 
 def _substitute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,42 +147,48 @@ def _substitute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, known in zip(batch.column("folded").to_pylist(), batch.column("known").to_pylist()):
             spelling = {x["word"]: x["spelling"] for x in known or ()}
             texts.append(_WORD.sub(lambda m: spelling.get(m.group(), m.group()), text) if spelling else text)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("item_kind", "item_id", "digest")] + [pa.array(texts, pa.string()), batch.column("repairs"), batch.column("n_mixed"), batch.column("n_respelt")], ["item_kind", "item_id", "digest", "text", "repairs", "n_mixed", "n_respelt"])
+        rest = ("repairs", "n_mixed", "n_respelt")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("item_kind", "item_id", "text")), pa.array(texts, pa.string()), *(batch.column(c) for c in rest)], ["item_kind", "item_id", "text", "consistent", *rest])
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words of one script, as the vocabulary holds them."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{IsLatin}]{2,}|[\p{IsCyrillic}]{2,}|[\p{IsGreek}]{2,}|[\p{IsArmenian}]{2,}"), F.lit(0)))
+    """Lower-case words of one script, as the vocabulary holds them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def consistent_texts(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Each distinct (item_kind, item_id, text) in one consistent form.
+def _rows(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_kind").cast("string"), F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull())
 
-    ``items``: item_kind, item_id, text; ``vocabulary``: a ``text`` column whose words are known spellings. Returns the
-    keys, ``text`` as it was, ``consistent``, ``repairs`` (width, compatibility, marks, invisible, space), ``n_mixed``
-    words of mixed script that a look-alike spelling resolves, and ``n_respelt`` of them whose spelling the vocabulary
-    holds, which alone are replaced. Null texts are left out, empty ones are consistent, repeated rows count once.
 
-    Only texts that match ``SUSPECT`` leave the JVM, and the vocabulary is reduced to its distinct words before it
-    meets the candidate spellings.
+def suspect_texts(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The part of ``consistent_texts`` whose texts hold a character that may need a repair.
+
+    A table over the code points finds them; they are folded once and written to the shared folder, for the candidate spellings and
+    the result both read them. The vocabulary is reduced to its distinct words before it meets the candidates.
     """
-    rows = items.select(F.col("item_kind").cast("string"), F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull()).withColumn("digest", F.xxhash64("text"))
-    rows = rows.dropDuplicates(["item_kind", "item_id", "digest"])
-    suspect = F.col("text").rlike(SUSPECT)
     key = ["item_kind", "item_id", "digest"]
     word = "array<struct<word:string,spelling:string>>"
-    folded = rows.filter(suspect).select(*key, "text").mapInArrow(_fold_rows, f"item_kind string, item_id string, digest long, folded string, repairs array<string>, mixed {word}")
-    candidates = folded.select(*key, F.explode("mixed").alias("m")).select(*key, F.col("m.word").alias("word"), F.col("m.spelling").alias("spelling"), F.lower("m.spelling").alias("w"))
-    wanted = candidates.select("w").distinct()
-    known = vocabulary.filter(F.col("text").isNotNull()).select(F.explode(words_of(F.col("text"))).alias("w")).distinct().join(wanted, "w", "left_semi")
-    spelt = candidates.join(known, "w").groupBy(*[F.col(k).alias(f"k_{k}") for k in key]).agg(F.collect_list(F.struct("word", "spelling")).alias("known"))
+    hashed = _rows(items).withColumn("digest", F.xxhash64("text"))
+    folded = materialize(hashed.mapInArrow(_fold_rows, f"item_kind string, item_id string, digest long, text string, folded string, repairs array<string>, mixed {word}").dropDuplicates(key))
+    candidates = folded.select(*[F.col(k).alias(f"k_{k}") for k in key], F.explode("mixed").alias("m")).withColumn("w", F.lower("m.spelling"))
+    known = vocabulary.filter(F.col("text").isNotNull()).select(F.explode(words_of(F.col("text"))).alias("w")).distinct().join(candidates.select("w").distinct(), "w", "left_semi")
+    spelt = candidates.join(known, "w").groupBy(*[f"k_{k}" for k in key]).agg(F.collect_list("m").alias("known"))
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key]
-    joined = folded.join(spelt, same, "left").select(*key, "folded", "repairs", F.size("mixed").alias("n_mixed"), F.coalesce(F.size("known"), F.lit(0)).alias("n_respelt"), "known")
-    done = joined.mapInArrow(_substitute, "item_kind string, item_id string, digest long, text string, repairs array<string>, n_mixed int, n_respelt int")
-    originals = rows.filter(suspect).select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("text").alias("was"))
-    repaired = done.join(originals, same).select("item_kind", "item_id", F.col("was").alias("text"), F.col("text").alias("consistent"), "repairs", "n_mixed", "n_respelt")
-    plain = rows.filter(~suspect).select("item_kind", "item_id", "text", F.col("text").alias("consistent"), F.array().cast("array<string>").alias("repairs"), F.lit(0).alias("n_mixed"), F.lit(0).alias("n_respelt"))
-    return repaired.unionByName(plain)
+    joined = folded.join(spelt, same, "left").select("item_kind", "item_id", "text", "folded", "repairs", F.size("mixed").alias("n_mixed"), F.when(F.col("known").isNull(), 0).otherwise(F.size("known")).alias("n_respelt"), "known")
+    return joined.mapInArrow(_substitute, "item_kind string, item_id string, text string, consistent string, repairs array<string>, n_mixed int, n_respelt int")
+
+
+def consistent_texts(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Each (item_kind, item_id, text) in one consistent form.
+
+    ``items``: item_kind, item_id, text; ``vocabulary``: a ``text`` column whose words are known spellings. Returns the
+    keys, ``text`` as it was, ``consistent``, ``repairs`` (width, compatibility, marks, invisible, space), ``n_mixed``
+    words of mixed script that a look-alike spelling resolves, and ``n_respelt`` of them whose spelling the vocabulary
+    holds, which alone are replaced. Null texts are left out, empty ones are consistent, and repeated rows of a text
+    that holds a suspect character come out once, others as often as they came.
+    """
+    plain = _rows(items).mapInArrow(_plain_rows, "item_kind string, item_id string, text string").select("item_kind", "item_id", "text", F.col("text").alias("consistent"), F.array().cast("array<string>").alias("repairs"), F.lit(0).alias("n_mixed"), F.lit(0).alias("n_respelt"))
+    return suspect_texts(items, vocabulary).unionByName(plain)
 
 
 def needed_repair() -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.leakage import leaked_passages
-from lexweave.llm.lookalikes import consistent_texts, needed_repair
+from lexweave.llm.lookalikes import consistent_texts, needed_repair, suspect_texts
 from lexweave.llm.neardup import alike_pairs, duplicate_classes
 from lexweave.llm.packing import pack_documents, packing_summary
 from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
 from lexweave.llm.splitting import distinct_pieces, oversized, split_items
-from lexweave.session import table
+from lexweave.session import materialize, table
 
 
 def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
@@ -47,16 +47,19 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_pieces(split_items(_sized_items(spark, sf_dir), table(spark, sf_dir, "size_limits")))
 
 
-def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts_and_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parents = table(spark, sf_dir, "legal_parent_contract_v1").select(F.lit("parent").alias("item_kind"), F.col("external_parent_id").alias("item_id"), F.col("content").alias("text"))
     verdicts = table(spark, sf_dir, "citation_verdicts").select(F.lit("verdict").alias("item_kind"), F.col("verdict_id").cast("string").alias("item_id"), F.col("law").alias("text"))
-    titles = table(spark, sf_dir, "law_titles").select(F.col("title").alias("text"))
     items = parents.unionByName(verdicts)
-    return consistent_texts(items, items.select("text").unionByName(titles))
+    return items, items.select("text").unionByName(table(spark, sf_dir, "law_titles").select(F.col("title").alias("text")))
+
+
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_texts(*_texts_and_vocabulary(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = p5_texts(spark, sf_dir)
+    texts = materialize(suspect_texts(*_texts_and_vocabulary(spark, sf_dir)))
     titles = table(spark, sf_dir, "law_titles").select("title").distinct()
     parents = texts.filter((F.col("item_kind") == "parent") & needed_repair()).select("item_kind", "item_id")
     laws = texts.filter((F.col("item_kind") == "verdict") & (F.col("text") != F.col("consistent")))
