@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.boilerplate import main_blocks
 from lexweave.llm.leakage import leaked_passages
 from lexweave.llm.lookalikes import consistent_texts, needed_repair, suspect_texts
 from lexweave.llm.neardup import alike_pairs, duplicate_classes
@@ -21,6 +22,14 @@ def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return row["max_size"], row["overlap_size"]
 
 
+def p2_main_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_blocks(table(spark, sf_dir, "page_candidates"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_main_blocks(spark, sf_dir).select("page_id", "candidate_no")
+
+
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "legal_parent_contract_v1").select(F.col("external_parent_id").alias("record_id"), F.col("content").alias("text"))
 
@@ -100,6 +109,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_main_blocks": p2_main_blocks,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
