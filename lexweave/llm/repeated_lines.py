@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import materialize
+
 MIN_DOCUMENTS = 3
 MIN_SHARE = 0.2
 SALTS = 16  # parts in which the blocks of one frequent line are joined
@@ -20,11 +22,12 @@ def _width_map() -> tuple[str, str]:
 
 
 WIDE, PLAIN = _width_map()
+_WIDE_LETTER = r"[\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uffdc\u2160-\u217f\u2460-\u2468\u2f00-\u2fd5\uf900-\ufad9]"  # signs fall away
 
 
 def line_key(text: Column) -> Column:
     """A line without letter case, width, spacing, punctuation and the values of its numbers; null if nothing is left."""
-    x = F.lower(F.translate(text, WIDE, PLAIN))
+    x = F.lower(F.when(text.rlike(_WIDE_LETTER), F.translate(text, WIDE, PLAIN)).otherwise(text))
     x = F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", "")
     x = F.regexp_replace(x, r"\p{Nd}+", "0")
     return F.when(F.length(x) > 0, x)
@@ -60,7 +63,7 @@ def repeated_blocks(blocks: DataFrame, groups: DataFrame, min_documents: int = M
     The documents of a line are counted after a distinct over the document too, so no task holds a hot line's rows, and
     the frequent lines are joined back in ``salts`` parts.
     """
-    lines = block_lines(blocks, groups)
+    lines = materialize(block_lines(blocks, groups))
     often = frequent_lines(lines, blocks, min_documents, min_share).select(F.col("source_site").alias("s"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("g_salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("document_identity"), F.lit(salts)).cast("int"))
     hit = salted.join(often, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("salt") == F.col("g_salt")) & F.col("source_site").eqNullSafe(F.col("s")), "left_semi")
