@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import references
+from lexweave.plans import documents, references
 
-MODULES = [references]
+MODULES = [references, documents]
 
 
 def queries() -> dict:
