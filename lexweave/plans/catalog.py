@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import documents, references
+from lexweave.plans import documents, references, retrieval
 
-MODULES = [references, documents]
+MODULES = [references, documents, retrieval]
 
 
 def queries() -> dict:
