@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import documents, references, retrieval
+from lexweave.plans import documents, ingest, references, retrieval, state
 
-MODULES = [references, documents, retrieval]
+MODULES = [references, documents, retrieval, state, ingest]
 
 
 def queries() -> dict:
