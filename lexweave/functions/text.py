@@ -99,7 +99,7 @@ def micros(c: Column | str) -> Column:
 
 def markdown_table(headers: Column, rows: Column) -> Column:
     """A Markdown table of an array of headers and an array of rows of strings."""
-    cell = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\\\|"), "\n", "<br>")
+    cell = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), "\n", "<br>")
     line = lambda xs: F.concat(F.lit("| "), F.array_join(F.transform(xs, cell), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(headers, lambda h: F.repeat(F.lit("-"), F.greatest(F.lit(3), F.length(cell(h))))), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(headers), rule), F.transform(rows, line)), "\n")
