@@ -215,9 +215,9 @@ def main_blocks(candidates: DataFrame, labelled: str = str(LABELLED)) -> DataFra
     """``page_id``, ``candidate_no`` and the tree's ``share`` of main text for every block, kept where it is over a half.
 
     The tree runs inside the JVM over features of the block and its neighbours. Tags, classes and the given counts are
-    not used, for they mislead. Null texts are empty blocks; a missing link density is a value of its own; blocks
+    not used, for they mislead. Null and empty texts are no main block; a missing link density is a value of its own; blocks
     without a page or number are left out; of repeated rows the latest counts, ties by the greater text; a page of
     nothing but furniture has no row.
     """
     odds, tree = model(labelled)
-    return block_features(candidates, odds).select("page_id", "candidate_no", as_column(tree).alias("share")).filter(F.col("share") > 0.5)
+    return block_features(candidates, odds).filter(F.col("words") > 0).select("page_id", "candidate_no", as_column(tree).alias("share")).filter(F.col("share") > 0.5)
