@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import documents, ingest, references, retrieval, state
+from lexweave.plans import documents, ingest, references, retrieval, state, structure
 
-MODULES = [references, documents, retrieval, state, ingest]
+MODULES = [references, documents, retrieval, state, ingest, structure]
 
 
 def queries() -> dict:
