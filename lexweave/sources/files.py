@@ -31,14 +31,15 @@ def capabilities(spark: SparkSession) -> DataFrame:
 def crawl(spark: SparkSession, folder: str) -> DataFrame:
     """All files below a folder with suffix, size, hash and a status.
 
-    Unsupported suffixes, empty files and names that occur twice, whatever their case, are marked, not dropped.
+    Unsupported suffixes and names that occur twice, whatever their case, are marked, not dropped; files of no bytes are
+    not listed by Spark.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     named = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("suffix", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)))
     hashed = named.select("path", "name", "suffix", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
     copies = hashed.groupBy(F.lower("name").alias("key")).agg(F.count("*").alias("n_same_name"))
     known = [s for s, ok, _ in SUFFIXES if ok]
-    status = F.when(~F.col("suffix").isin([s for s, _, _ in SUFFIXES]), "UNSUPPORTED_FILE_TYPE").when(~F.col("suffix").isin(known), "PARSER_UNAVAILABLE").when(F.col("length") == 0, "EMPTY_DOCUMENT").when(F.col("n_same_name") > 1, "DUPLICATE_NAME").otherwise("OK")
+    status = F.when(~F.col("suffix").isin([s for s, _, _ in SUFFIXES]), "UNSUPPORTED_FILE_TYPE").when(~F.col("suffix").isin(known), "PARSER_UNAVAILABLE").when(F.col("n_same_name") > 1, "DUPLICATE_NAME").otherwise("OK")
     return hashed.join(copies, F.lower("name") == F.col("key")).select("path", "name", "suffix", "length", "modificationTime", "sha256", status.alias("status"))
 
 
