@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import materialize
+
 LABELLED = Path(__file__).with_name("resources") / "labelled_blocks.jsonl"  # 510 blocks of 42 pages with their labels
 SPAN = 5  # neighbouring runs whose least mean odds show furniture within a line
 FOLDS = 7
@@ -202,7 +204,7 @@ def block_features(candidates: DataFrame, odds: dict[str, float], salts: int = S
     rows = candidates.select(F.col("page_id").cast("long"), F.col("candidate_no").cast("int"), F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string"), F.col("link_density").cast("double"), F.col("fetched_at"))
     rows = rows.filter(F.col("page_id").isNotNull() & F.col("candidate_no").isNotNull()).repartition("page_id")
     latest = rows.groupBy("page_id", "candidate_no").agg(F.max(F.struct("fetched_at", "text", "link_density", "site")).alias("r")).select("page_id", "candidate_no", "r.text", "r.link_density", "r.site")
-    own = latest.select("page_id", "candidate_no", "site", "text", "link_density").mapInArrow(_score(odds), _OWN)
+    own = materialize(latest.select("page_id", "candidate_no", "site", "text", "link_density").mapInArrow(_score(odds), _OWN))  # read three times
     often = shared_lines(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     joined = salted.join(often, ["site", "line_key", "salt"], "left").select("page_id", "candidate_no", *FEATURES[:12], F.coalesce("link_density", F.lit(-1.0)).alias("link_density"), F.coalesce("site_share", F.lit(0.0)).alias("site_share"))
