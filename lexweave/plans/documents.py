@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import SPACE, document_identity, normalize_ws, search_tokens, strip
 from lexweave.operators import chunking, cleaning
-from lexweave.session import table
+from lexweave.session import spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def doc_normalize_ws(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.operators import evaluation, retrieval
-from lexweave.session import materialize, table
+from lexweave.session import materialize, spread, table
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +19,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), "query", "query_type", "difficulty", "lang")
-    return items, table(spark, sf_dir, "documents").select("doc_id", "text")
+    return items, spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def dense_topk(spark, sf_dir):

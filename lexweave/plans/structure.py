@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexweave.operators import blocks, chunking
-from lexweave.session import shared_folder, table
+from lexweave.session import shared_folder, spread, table
 
 
 def _blocks(spark, sf_dir):
-    return blocks.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return blocks.markdown_blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def markdown_blocks(spark, sf_dir):

@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the cluster has cores, dealt out to all of them.
+
+    Small files with long texts come as one or two partitions, and what reads the texts would run on as many cores. A
+    scan of enough partitions is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one is made only where the setting is absent."""
     own = spark.conf.get("spark.checkpoint.dir", None)
