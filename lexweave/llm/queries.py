@@ -13,7 +13,7 @@ from lexweave.llm.packing import pack_documents, packing_summary
 from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
 from lexweave.llm.splitting import distinct_pieces, oversized, split_items
-from lexweave.session import materialize, table
+from lexweave.session import materialize, spread, table
 
 
 def limit_of(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
@@ -84,8 +84,12 @@ def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_documents(table(spark, sf_dir, "block_decisions"), table(spark, sf_dir, "duplicate_groups"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), limit_of(spark, sf_dir, "document")[0])
+    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), limit_of(spark, sf_dir, "document")[0])
 
 
 def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +97,7 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_passages(_documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "documents"))
+    return split_sentences(_documents(spark, sf_dir).select("doc_id", "text", "layout"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
