@@ -46,8 +46,7 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
     first[codes[target]], last[codes[target]], gone[codes[removal]] = lo[target], hi[target], hi[removal]
     month = np.full(n, None, dtype=object)
     month[codes[target]] = period[target]
-    present, known_removed = Bitmap.of(codes[target]), Bitmap.of(codes[removal])
-    taken = codes[removal]
+    present, taken = Bitmap.of(codes[target]), codes[removal]
     removed = Bitmap.of(taken[~present.has(taken) | np.isnan(last[taken]) | (gone[taken] > last[taken])])
     alive = present.and_not(removed)
     alive_codes = alive.codes()
@@ -78,7 +77,6 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         bound = pd.array(np.where(np.isnan(first[left]), 0, first[left]).astype("int64"), dtype="Int64")
         bound[(kind != "late") | np.isnan(first[left])] = pd.NA
         out.append(pd.DataFrame({"space": pdf["space"].iloc[0], "key": np.asarray(words, dtype=object)[left], "period": p, "kind": kind, "first_us": bound}))
-    del known_removed
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"space": [], "key": [], "period": [], "kind": [], "first_us": pd.array([], dtype="Int64")})
 
 
