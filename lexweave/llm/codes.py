@@ -78,7 +78,7 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = np.unique(np.searchsorted(starts, odd, side="right") - 1)
     slow = {int(r): np.frombuffer(fold_text(text_of(codes[starts[r] : starts[r + 1]])).encode("utf-32-le"), dtype=np.uint32) for r in rows}
     keep = got != 0
-    parts, lengths, at = [], [], 0
+    parts, at = [], 0
     plain = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
     sizes = np.diff(plain[starts])
     for r in sorted(slow):
@@ -86,5 +86,4 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes[r] = len(slow[r])
         at = r + 1
     parts.append(got[starts[at] :][keep[starts[at] :]])
-    del lengths
     return np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
