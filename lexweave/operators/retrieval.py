@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,13 +184,92 @@ def final_route(states: DataFrame) -> DataFrame:
     return states.select("query_id", route.alias("route"))
 
 
-def similarity_quantiles(vectors: DataFrame, cap: float = 0.97, margin: float = 0.03) -> DataFrame:
-    """Quantiles of the similarities between different queries and the cache threshold they suggest.
+NANO, BIN = 1_000_000_000, 20_000  # similarities are counted in billionths, first in bins of so many
 
-    ``vectors``: the stated query set, vec_id and embedding, matched in blocks against itself.
+
+def _pair_counts(ids: np.ndarray, matrix: np.ndarray, asked: np.ndarray, wanted: np.ndarray | None):
+    """Counts of similarities by bin, or by value in the ``wanted`` bins, of one block of queries with all rows."""
+    norms = np.linalg.norm(matrix, axis=1)
+    unit = matrix / np.where(norms == 0, 1, norms)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()) if i is not None and v is not None and len(v) == matrix.shape[1] and None not in v]
+            for at in range(0, len(rows), 1_000):
+                part = rows[at : at + 1_000]
+                own, x = np.array([i for i, _ in part], dtype=np.int64), np.array([v for _, v in part], dtype=np.float64)
+                if not np.isfinite(x).all():
+                    raise ValueError("a vector holds a value that is not finite")
+                n = np.linalg.norm(x, axis=1)
+                scores = np.rint((unit @ (x / np.where(n == 0, 1, n)[:, None]).T) * NANO).astype(np.int64)
+                scores = scores[np.where(np.isin(own, asked)[None, :], ids[:, None] < own[None, :], ids[:, None] != own[None, :])]
+                if wanted is None:
+                    scores = scores // BIN
+                else:
+                    scores = scores[np.isin(scores // BIN, wanted)]
+                values, counts = np.unique(scores, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["value", "n"])
+
+    return run
+
+
+def similarity_quantiles(queries: DataFrame, corpus: DataFrame, cap: float = 0.97, margin: float = 0.03, block: int = QUERY_BLOCK) -> DataFrame:
+    """Quantiles of the similarities of a query set with all other rows and the cache threshold they suggest.
+
+    ``queries``: the stated query set, rows of ``corpus``; both vec_id, embedding. A pair of two queries counts once, a
+    row with itself never. Similarities are counted block by block in bins of fixed width and then by value in the
+    bins of the quantiles only, so the result is exact and the driver holds at most one count a bin or a value of
+    those bins. Vectors of another dimension or with nulls match nothing; a value that is not finite is an error.
     """
-    n = vectors.count()
-    pairs = dense_topk(vectors, vectors, k=max(1, n)).filter(F.col("query_id") < F.col("vec_id"))
-    q = F.percentile("similarity", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99, 1.0)]))
-    stats = pairs.agg(F.count("*").alias("n_pairs"), q.alias("q"), F.max("similarity").alias("top"))
-    return stats.select("n_pairs", *[F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("p50", "p90", "p95", "p99", "p100"))], F.round(F.least(F.col("top") + margin, F.lit(cap)), 6).alias("threshold"))
+    spark = queries.sparkSession
+    rows = corpus.select(F.col("vec_id").cast("long"), "embedding")
+    usable = queries.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    asked = np.array(sorted(r["vec_id"] for r in usable.select("vec_id").toLocalIterator()), dtype=np.int64)
+    passes = max(1, math.ceil(len(asked) / block))
+
+    def counts(wanted: np.ndarray | None) -> list[tuple[int, int]]:
+        total: Counter = Counter()
+        for p in range(passes):
+            part = [(r["vec_id"], r["embedding"]) for r in usable.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).toLocalIterator()]
+            if part:
+                run = _pair_counts(np.array([i for i, _ in part], dtype=np.int64), np.array([v for _, v in part], dtype=np.float64), asked, wanted)
+                for r in rows.mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toLocalIterator():
+                    total[r["value"]] += r["n"]
+        return sorted(total.items())
+
+    names, shares = ("p50", "p90", "p95", "p99", "p100"), (0.5, 0.9, 0.95, 0.99, 1.0)
+    schema = "n_pairs long, " + ", ".join(f"{x} double" for x in names) + ", threshold double"
+    bins = counts(None)
+    n = sum(c for _, c in bins)
+    if n == 0:
+        return spark.createDataFrame([(0, *[None] * 6)], schema)
+    places = [x * (n - 1) for x in shares]
+    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+
+    def holding(table: list[tuple[int, int]], before: dict[int, int]) -> dict[int, int]:
+        """The value at each rank; ``before`` gives the pairs left out just before a value."""
+        out, seen, todo = {}, 0, iter(ranks)
+        r = next(todo, None)
+        for value, c in table:
+            seen += before.get(value, 0) + c
+            while r is not None and r < seen:
+                out[r] = value
+                r = next(todo, None)
+        return out
+
+    wanted = sorted(set(holding(bins, {}).values()))
+    exact = counts(np.array(wanted, dtype=np.int64))
+    left, skipped, first = {}, 0, {}
+    for value, _ in exact:
+        first.setdefault(value // BIN, value)
+    for b, c in bins:
+        if b in first:
+            left[first[b]], skipped = skipped, 0
+        else:
+            skipped += c
+    at_rank = holding(exact, left)
+    found = []
+    for at in places:
+        low, high = at_rank[math.floor(at)] / NANO, at_rank[math.ceil(at)] / NANO
+        found.append(low + (high - low) * (at - math.floor(at)))
+    return spark.createDataFrame([(n, *[round(x, 6) for x in found], round(min(found[-1] + margin, cap), 6))], schema)

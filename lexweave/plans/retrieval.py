@@ -33,7 +33,7 @@ def dense_topk_filtered(spark, sf_dir):
 
 
 def similarity_quantiles(spark, sf_dir):
-    return retrieval.similarity_quantiles(_vectors(spark, sf_dir)[0])
+    return retrieval.similarity_quantiles(*_vectors(spark, sf_dir))
 
 
 def bm25_topk(spark, sf_dir):

@@ -190,3 +190,19 @@ def test_html_blocks(spark):
     assert [(t, x) for t, x, _, _ in got][:7] == [("HEADING", "河道条例"), ("PARAGRAPH", "第一条 为了保护河道，制定本条例。"), ("PARAGRAPH", "第二条 适用于全市河道"), ("LIST_ITEM", "一项"), ("LIST_ITEM", "子项"), ("LIST_ITEM", "二项"), ("UNKNOWN", "散落文字")]
     assert got[7][3] == [["项", "值"], ["合计", ""]] and not any("版权" in x or "下一页" in x for _, x, _, _ in got)
     assert html.html_blocks(spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id long, html string")).count() == len(got)
+
+
+def test_similarity_quantiles_see_all_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    pairs = [round(float(unit[q] @ unit[c]), 9) for q in range(0, 300, 50) for c in range(300) if q != c and (c % 50 or q < c)]
+    for block in (2_000, 2):
+        got = retrieval.similarity_quantiles(rows.filter("vec_id % 50 = 0"), rows, block=block).first()
+        assert got["n_pairs"] == len(pairs) == 6 * 294 + 15
+        for name, share in (("p50", 50), ("p90", 90), ("p95", 95), ("p99", 99), ("p100", 100)):
+            assert got[name] == pytest.approx(float(np.percentile(pairs, share)), abs=2e-6)
+        assert got["threshold"] == pytest.approx(min(max(pairs) + 0.03, 0.97), abs=2e-6)
+    assert retrieval.similarity_quantiles(rows.limit(0), rows).first()["n_pairs"] == 0
