@@ -206,3 +206,12 @@ def test_similarity_quantiles_see_all_rows(spark):
             assert got[name] == pytest.approx(float(np.percentile(pairs, share)), abs=2e-6)
         assert got["threshold"] == pytest.approx(min(max(pairs) + 0.03, 0.97), abs=2e-6)
     assert retrieval.similarity_quantiles(rows.limit(0), rows).first()["n_pairs"] == 0
+
+
+def test_citation_verify_counts_articles_without_a_law(spark, tmp_path):
+    from lexweave.plans import ingest as plans
+
+    rows = [("a", "《税法》第一条规定纳税。"), ("b", "槙葛法第39条の規定による。"), ("c", "第2条"), ("d", "no article"), ("e", None)]
+    spark.createDataFrame(rows, "external_parent_id string, content string").write.parquet(str(tmp_path / "legal_parent_contract_v1.parquet"))
+    got = plans.citation_verify(spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in got) == 3
