@@ -4,27 +4,31 @@ Between two tokens the model may insert the event <S>. Events are allowed only a
 Thai, at spaces; a line end (in ``wrapped`` layout: a blank line) is an event for certain. The joint probability of a
 gap is P(event | left word, mark) * P(right word | event, left word); gaps one word apart depend on each other, for
 the history of the second holds the event of the first, and are decided by forward-backward over the run of gaps.
-The counts come from a sample whose certain ends and starts are its labels, refined by expectation maximisation.
+The counts come from all texts, whose certain ends and starts are the labels, refined by expectation maximisation.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import row_count
+from lexweave.session import materialize
 
-SAMPLE_DOCUMENTS = 4_000  # documents whose lines the model is fitted on
-SAMPLE_CHARS = 4_000  # longest text taken into the sample
 ROUNDS = 7
 FINAL_WEIGHT = 0.3  # of a block end among the gaps inside blocks
 RARE = 4  # words seen less often are known by their shape
+FLUSH = 200_000  # keys that a task counts before it passes them on
+UNIT = 1_000_000  # expected counts are summed in millionths, so their sums do not depend on the order
+COUNTS = "kind string, script string, key string, n long"
+_PART, _GAP_END = "\x1f", "\x1e"  # white space to ``re``, so in no word or mark
 
 _CLOSE = "”\"“»」』’')）\\]】〉》"
 _OPENED = {"”": "“„", "“": "„", "»": "«", "」": "「", "』": "『"}
@@ -36,6 +40,7 @@ _INNER = re.compile(r"(?<=[^\s.!?。！？।؟:»”\"«“„…]) ([^\W\d_]+(
 _WORD = re.compile(r"[^\s(（«“\"„「『¿¡\[【《]+\Z")
 _NEXT = re.compile(r"\s*([«“\"„「『¿¡(（\[【《‘]*)\s*(\d+|[a-zA-ZÀ-ɏ]+(?:[’'][a-zA-ZÀ-ɏ]+)?\.?|[Ѐ-ӿ]+|[\u0600-ۿ]+|[\u0900-ॿ]+|[\u0e00-\u0e7f]{1,3}|[㐀-鿿\u3040-ヿ]|\S)")
 _CJK = re.compile(r"[\u3040-ヿ㐀-鿿豈-\ufaff]")
+_LETTER = re.compile(r"[^\W\d_]")
 _FULL = "。！？｡"
 STRONG = {"。", "！", "？", "।", "॥", "؟", "۔", "｡", "!", "?"}  # marks that do little else than end sentences outside quotations
 
@@ -93,7 +98,7 @@ def _shape(word: str) -> str:
 
 def script_of(block: str) -> str:
     """The script of the first letter, by its place in the code chart."""
-    m = re.search(r"[^\W\d_]", block)
+    m = _LETTER.search(block)
     c = m.group() if m else "a"
     return "cjk" if _CJK.match(c) else "latin" if c < "Ͱ" else chr(ord(c) >> 7)
 
@@ -111,13 +116,14 @@ class Gap:
     script: str
 
 
-def gaps_of(block: str) -> list[Gap]:
+def gaps_of(block: str, script: str | None = None) -> list[Gap]:
     """Gaps of a block, without its end. Gaps within a quotation, within a list mark or next to a number are none."""
     out: list[Gap] = []
     spans = quoted(block) if _QUOTE.search(block) else []
     opening = _LIST_MARK.match(block)
     first = opening.end() if opening else 0
-    n, last_end, script = len(block), -1, script_of(block)
+    n, last_end = len(block), -1
+    script = script or script_of(block)
     for m in _GAP.finditer(block, first if opening and block[first - 1 : first] in ".．" else 0):
         start, end = m.span()
         c = block[start]
@@ -214,27 +220,31 @@ class Model:
         key = (gap.script, gap.left, gap.mark, gap.right)
         got = self.memo.get(key)
         if got is None:
-            k, l, m, r = gap.script, self.left(gap.left), gap.mark, self.right(gap.right)
-            shape = _right_shape(gap.right)
-            whole = (self.event[m] + 1) / (self.seen[m] + 2)
-            p = (self.event[l, m] + 2 * whole) / (self.seen[l, m] + 2)
-            p = min(max(p, 0.995 if m in STRONG else 1e-4), 1 - 1e-4)
-            among = (self.base[k, r] + 0.1) / (self.base[k, "shape", shape] + 2)
-
-            def word(counts: dict) -> float:
-                return counts[k, r] / max(1.0, counts[k, "shape", shape])
-
-            after_event = (self.start[k, "shape", shape] + 1) / (self.start[k] + 12) * (0.96 * word(self.start) + 0.04 * among)
-            loose = (self.inner[k, "shape", shape] + 1) / (self.inner[k] + 12)
-            after_none = (self.follow[l, m, shape] + 2 * loose) / (self.follow[l, m] + 2) * (0.45 * word(self.inner) + 0.45 * word(self.after) + 0.1 * among)
-            ratio = min(max(after_event / after_none, 1e-4), 1e4)
-            if m in STRONG:
-                ratio = max(ratio, 0.2)
-            got = self.memo[key] = (1 - p, p * ratio)
+            if len(self.memo) >= FLUSH:
+                self.memo.clear()
+            got = self.memo[key] = self.weigh(gap.script, self.left(gap.left), gap.mark, self.right(gap.right), _right_shape(gap.right))
         return got
 
+    def weigh(self, k: str, l: str, m: str, r: str, shape: str) -> tuple[float, float]:
+        """``weights`` of a script, left word, mark, right word and its shape as the model knows them."""
+        whole = (self.event[m] + 1) / (self.seen[m] + 2)
+        p = (self.event[l, m] + 2 * whole) / (self.seen[l, m] + 2)
+        p = min(max(p, 0.995 if m in STRONG else 1e-4), 1 - 1e-4)
+        among = (self.base[k, r] + 0.1) / (self.base[k, "shape", shape] + 2)
+
+        def word(counts: dict) -> float:
+            return counts[k, r] / max(1.0, counts[k, "shape", shape])
+
+        after_event = (self.start[k, "shape", shape] + 1) / (self.start[k] + 12) * (0.96 * word(self.start) + 0.04 * among)
+        loose = (self.inner[k, "shape", shape] + 1) / (self.inner[k] + 12)
+        after_none = (self.follow[l, m, shape] + 2 * loose) / (self.follow[l, m] + 2) * (0.45 * word(self.inner) + 0.45 * word(self.after) + 0.1 * among)
+        ratio = min(max(after_event / after_none, 1e-4), 1e4)
+        if m in STRONG:
+            ratio = max(ratio, 0.2)
+        return 1 - p, p * ratio
+
     def posteriors(self, gaps: list[Gap]) -> list[float]:
-        """P(event) of each gap; runs of near gaps by forward-backward, for two events one word apart are one too many."""
+        """P(event) of each gap."""
         out: list[float] = []
         k, n = 0, len(gaps)
         while k < n:
@@ -245,23 +255,31 @@ class Model:
                 a, b = self.weights(gaps[k])
                 out.append(b / (a + b))
             else:
-                w = [self.weights(g) for g in gaps[k:j]]
-                apart = (self.event["near"] + 1) / (self.seen["near"] + 2)
-                forward = [w[0]]
-                for a, b in w[1:]:
-                    f0, f1 = forward[-1]
-                    x, y = (f0 + f1) * a, (f0 + f1 * apart) * b
-                    forward.append((x / (x + y), y / (x + y)))
-                backward = [(1.0, 1.0)]
-                for a, b in reversed(w[1:]):
-                    b0, b1 = backward[-1]
-                    x, y = a * b0 + b * b1, a * b0 + apart * b * b1
-                    backward.append((x / (x + y), y / (x + y)))
-                for (f0, f1), (b0, b1) in zip(forward, reversed(backward)):
-                    out.append(f1 * b1 / (f0 * b0 + f1 * b1))
+                out += self.run_posteriors([self.weights(g) for g in gaps[k:j]])
             k = j
         return out
 
+    def run_posteriors(self, w: list[tuple[float, float]]) -> list[float]:
+        """P(event) in a run of near gaps by forward-backward, for two events one word apart are one too many."""
+        if len(w) == 1:
+            a, b = w[0]
+            return [b / (a + b)]
+        out: list[float] = []
+        apart = (self.event["near"] + 1) / (self.seen["near"] + 2)
+        forward = [w[0]]
+        for a, b in w[1:]:
+            f0, f1 = forward[-1]
+            x, y = (f0 + f1) * a, (f0 + f1 * apart) * b
+            forward.append((x / (x + y), y / (x + y)))
+        backward = [(1.0, 1.0)]
+        for a, b in reversed(w[1:]):
+            b0, b1 = backward[-1]
+            x, y = a * b0 + b * b1, a * b0 + apart * b * b1
+            backward.append((x / (x + y), y / (x + y)))
+        for (f0, f1), (b0, b1) in zip(forward, reversed(backward)):
+            out.append(f1 * b1 / (f0 * b0 + f1 * b1))
+        return out
+
     def ends(self, text: str, layout: str | None) -> list[int]:
         """Offsets just after each sentence's last character."""
         out = []
@@ -273,97 +291,206 @@ class Model:
         return out
 
 
-def fit(sample: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Model:
-    """A model of a sample of (text, layout).
-
-    Block ends with a mark are events for certain and block starts show what follows one; words after a plain space
-    show what follows none. The events inside blocks are latent: each round takes their posteriors for counts.
-    """
-    blocks = [text[a:b] for text, layout in sample for a, b in blocks_of(text, layout)]
-    gaps = [gaps_of(b) for b in blocks]
-    finals, starts, inner, count = [], [], [], Counter()
-    for b in blocks:
-        k, listed = script_of(b), _LIST_MARK.match(b)
-        r = _NEXT.match(b, listed.end() if listed else 0)
+def observe(out: Counter, text: str, layout: str | None) -> None:
+    """Adds the observations of a text: words of gaps, block ends and starts; ends, starts, inner words, runs of gaps."""
+    words: list[str] = []
+    for a, b in blocks_of(text, layout):
+        block = text[a:b]
+        k, listed = script_of(block), _LIST_MARK.match(block)
+        r = _NEXT.match(block, listed.end() if listed else 0)
         if r:
-            starts.append((k, (("“" if r.group(1) else "") + r.group(2))[:24]))
-        m = _FINAL.search(b)
+            w = (("“" if r.group(1) else "") + r.group(2))[:24]
+            out["start", k, w] += 1
+            words.append(w)
+        m = _FINAL.search(block)
         if m:
-            word = _WORD.search(b, max(0, m.start() - 12), m.start())
+            word = _WORD.search(block, max(0, m.start() - 12), m.start())
             left = word.group() if word else "<none>"
+            if _CJK.match(left[-1]):
+                left = "<cjk>"
             c, closers = m.group(1)[0], (m.group(2) or "").strip() + m.group(3)
             quoting = "Q" if _QUOTE.search(closers) else ""
-            if quoting and (spans := quoted(b)) and spans[-1][0] == 0:
+            if quoting and (spans := quoted(block)) and spans[-1][0] == 0:
                 quoting = "q"
             mark = (c * min(3, len(m.group(1))) if c == "." else c) + quoting + ")" * sum(x in ")）]】" for x in closers)
-            finals.append(("<cjk>" if _CJK.match(left[-1]) else left, mark))
-        inner += [(k, w[:24]) for w in _INNER.findall(b)]
-    for g in (g for line in gaps for g in line):
-        count[g.left.lower()] += 1
-        count[g.right] += 1
-    count.update(w for _, w in starts)
-    count.update(l.lower() for l, _ in finals)
-    model = Model(words={w for w, n in count.items() if n >= RARE and not w[0].isdigit()} | {"<cjk>", "<none>"})
-    final = Counter((model.left(l), m) for l, m in finals)
-    for k, w in inner:
-        model.inner[k] += 1
-        model.inner[k, model.right(w)] += 1
-        model.inner[k, "shape", _shape(w)] += 1
-    for k, w in [(g.script, g.right) for line in gaps for g in line] + starts:
-        model.base[k] += 1
-        model.base[k, model.right(w)] += 1
-        model.base[k, "shape", _right_shape(w)] += 1
-    begin = Counter((k, model.right(w)) for k, w in starts)
-    begin.update(k for k, _ in starts)
-    begin.update((k, "shape", _right_shape(w)) for k, w in starts)
-    model.start = begin
-    total = Counter((model.left(g.left), g.mark) for line in gaps for g in line)
-    n_gaps = sum(total.values())
-    share = max(0.05, len(finals) / max(1, len(finals) + 0.8 * n_gaps))  # of sentence ends that are block ends
-    for key, n in total.items():
+            out["final", "", left + _PART + mark] += 1
+            words.append(left.lower())
+        out.update(zip(repeat("inner"), repeat(k), _INNER.findall(block)))
+        runs: list[str] = []
+        for g in gaps_of(block, k):
+            words += (g.left.lower(), g.right)
+            gap = f"{g.left}{_PART}{g.mark}{_PART}{g.right}"
+            if g.near:
+                runs[-1] += _GAP_END + gap
+            else:
+                runs.append(gap)
+        if runs:
+            out.update(zip(repeat("run"), repeat(k), runs))
+    out.update(zip(repeat("word"), repeat(""), words))
+
+
+def reduce_words(model: Model, out: Counter, kind: str, script: str, key: str, n: int) -> None:
+    """Adds an observation with the words that the model does not know replaced by their shapes."""
+    if kind == "run":
+        gaps = (g.split(_PART) for g in key.split(_GAP_END))
+        key = _GAP_END.join(_PART.join((model.left(l), m, model.right(r), _right_shape(r))) for l, m, r in gaps)
+    elif kind == "final":
+        l, m = key.split(_PART)
+        key = model.left(l) + _PART + m
+    else:
+        key = key[:24]
+        key = model.right(key) + _PART + (_right_shape(key) if kind == "start" else _shape(key))
+    out[kind, script, key] += n
+
+
+def total(out: Counter, kind: str, script: str, key: str, n: int) -> None:
+    """Adds a reduced observation to the totals that no round changes."""
+    if kind == "run":
+        for l, m, r, shape in (g.split(_PART) for g in key.split(_GAP_END)):
+            out["gap", "", l + _PART + m] += n
+            out["base", script, r + _PART + shape] += n
+        return
+    out[kind, script, key] += n
+    if kind == "start":
+        out["base", script, key] += n
+
+
+def expect(model: Model, out: Counter, kind: str, script: str, key: str, n: int) -> None:
+    """Adds the expected counts, in millionths, of the gaps of a reduced run that hold no event."""
+    gaps = []
+    for g in key.split(_GAP_END):
+        got = model.memo.get((script, g))
+        if got is None:
+            l, m, r, shape = g.split(_PART)
+            if len(model.memo) >= FLUSH:
+                model.memo.clear()
+            keys = ("after", script, r + _PART + shape), ("follow", "", _PART.join((l, m, shape)))
+            got = model.memo[script, g] = (model.weigh(script, l, m, r, shape), *keys)
+        gaps.append(got)
+    for (_, after, follow), p in zip(gaps, model.run_posteriors([g[0] for g in gaps])):
+        none = round((1 - p) * n * UNIT)
+        out[after] += none
+        out[follow] += none
+
+
+def known_words(words: Iterable[str]) -> set[str]:
+    return {w for w in words if not w[0].isdigit()} | {"<cjk>", "<none>"}
+
+
+def refine(model: Model, totals: Iterable[tuple], expected: Callable[[Model], Iterable[tuple]], rounds: int = ROUNDS) -> Model:
+    """The model with the counts of ``totals``, then of ``rounds`` rounds of expectation maximisation.
+
+    Block ends with a mark are events for certain and block starts show what follows one; words after a plain space
+    show what follows none. The events inside blocks are latent: each round takes their posteriors for counts.
+    """
+    final, gap = Counter(), Counter()
+    for kind, k, key, n in totals:
+        a, b = key.split(_PART)
+        if kind == "final":
+            final[a, b] += n
+        elif kind == "gap":
+            gap[a, b] += n
+        else:
+            table = {"start": model.start, "inner": model.inner, "base": model.base}[kind]
+            table[k] += n
+            table[k, a] += n
+            table[k, "shape", b] += n
+    n_gaps, n_finals = sum(gap.values()), sum(final.values())
+    share = max(0.05, n_finals / max(1, n_finals + 0.8 * n_gaps))  # of sentence ends that are block ends
+    for key, n in sorted(gap.items()):
         p = min(0.97, (1 if key[0][0] == "<" else 3) * (final[key] + 0.02) / share * (1 - share) / n)  # words that end no block end few sentences
         model.event[key], model.seen[key] = p * n, n
         model.event[key[1]] += p * n
         model.seen[key[1]] += n
     model.event["near"], model.seen["near"] = 0.1, 10
     for _ in range(rounds):
-        event, seen, after, follow = Counter(), Counter(), Counter(), Counter()
-        for key, n in final.items():  # certain events keep the rounds from drifting
+        after, follow = Counter(), Counter()
+        for kind, k, key, n in sorted(expected(model)):
+            if kind == "after":
+                r, shape = key.split(_PART)
+                after[k, r] += n / UNIT
+                after[k, "shape", shape] += n / UNIT
+            else:
+                l, m, shape = key.split(_PART)
+                follow[l, m, shape] += n / UNIT
+                follow[l, m] += n / UNIT
+        event, seen = Counter(), Counter()
+        for key in sorted(gap.keys() | final.keys()):  # certain events keep the rounds from drifting
+            sure = FINAL_WEIGHT * final[key]
             for k in (key, key[1]):
-                event[k] += FINAL_WEIGHT * n
-                seen[k] += FINAL_WEIGHT * n
-        for line in gaps:
-            for g, p in zip(line, model.posteriors(line)):
-                l, m, r = model.left(g.left), g.mark, model.right(g.right)
-                event[l, m] += p
-                event[m] += p
-                seen[l, m] += 1
-                seen[m] += 1
-                shape = _right_shape(g.right)
-                after[g.script, r] += 1 - p
-                after[g.script, "shape", shape] += 1 - p
-                follow[l, m, shape] += 1 - p
-                follow[l, m] += 1 - p
+                event[k] += sure + max(0.0, gap[key] - follow[key])
+                seen[k] += sure + gap[key]
         event["near"], seen["near"] = model.event["near"], model.seen["near"]
         model.event, model.seen, model.after, model.follow = event, seen, after, follow
         model.memo = {}
     return model
 
 
-def split_sentences(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def fit(sample: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Model:
+    """A model of (text, layout) in memory; ``fit_all`` is the same over a DataFrame."""
+    raw, reduced, totals = Counter(), Counter(), Counter()
+    for text, layout in sample:
+        observe(raw, text, layout)
+    model = Model(words=known_words(key for (kind, _, key), n in raw.items() if kind == "word" and n >= RARE))
+    for key, n in raw.items():
+        if key[0] != "word":
+            reduce_words(model, reduced, *key, n)
+    for key, n in reduced.items():
+        total(totals, *key, n)
+
+    def expected(now: Model) -> list[tuple]:
+        out: Counter = Counter()
+        for key, n in reduced.items():
+            if key[0] == "run":
+                expect(now, out, *key, n)
+        return [(*key, n) for key, n in out.items()]
+
+    return refine(model, [(*key, n) for key, n in totals.items()], expected, rounds)
+
+
+def _counted(rows: DataFrame, add: Callable[..., None]) -> DataFrame:
+    """Sums of what ``add`` counts for each row, by kind, script and key; a task holds about ``FLUSH`` keys at most."""
+
+    def batch_of(out: Counter) -> pa.RecordBatch:
+        kinds, scripts, keys = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(scripts, pa.string()), pa.array(keys, pa.string()), pa.array(list(out.values()), pa.int64())], ["kind", "script", "key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                add(out, *row)
+                if len(out) >= FLUSH:
+                    yield batch_of(out)
+                    out = Counter()
+        yield batch_of(out)
+
+    return rows.mapInArrow(run, COUNTS).groupBy("kind", "script", "key").agg(F.sum("n").alias("n"))
+
+
+def fit_all(documents: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of all texts of ``documents`` (text, layout), which are read once.
+
+    Their observations are counted by Spark, as are the expected counts of each round over the distinct runs of gaps;
+    the driver gets the words seen ``RARE`` times or more and counts by such words and shapes, never texts or gaps.
+    """
+    raw = materialize(_counted(documents.select("text", "layout").filter(F.col("text").isNotNull()), observe))
+    frequent = raw.filter((F.col("kind") == "word") & (F.col("n") >= RARE)).select("key")
+    model = Model(words=known_words(r["key"] for r in frequent.toLocalIterator()))
+    reduced = materialize(_counted(raw.filter(F.col("kind") != "word"), partial(reduce_words, model)))
+    runs = reduced.filter(F.col("kind") == "run")
+    return refine(model, map(tuple, _counted(reduced, total).collect()), lambda now: map(tuple, _counted(runs, partial(expect, now)).collect()), rounds)
+
+
+def split_sentences(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``sent_no``, ``sent_start`` and ``sent_end`` of every sentence, by offsets in code points.
 
-    The model is fitted on ``sample_documents`` texts of at most ``sample_chars`` characters, chosen by a hash of the
-    id, and then applied to every whole text. Null, empty and blank texts have no sentence; a missing layout counts as
-    ``flow``; a repeated row gives its sentences again; a text without any mark is one sentence a block.
+    The model is fitted on all texts and then applied to every whole text. Null, empty and blank texts have no
+    sentence; a missing layout counts as ``flow``; a repeated row gives its sentences again; a text without any mark
+    is one sentence a block.
     """
     rows = documents.select(F.col("doc_id").cast("long"), "text", "layout").filter(F.col("text").isNotNull())
-    n = row_count(documents)
-    slices = max(1, n // (2 * sample_documents))  # only a slice of the ids is a candidate, so that few rows are sorted
-    chosen = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == 0) & (F.length("text") <= sample_chars))
-    sample = chosen.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample_documents)
-    model = fit([(r["text"], r["layout"]) for r in sample.collect()])
-    model.memo = {}
+    model = fit_all(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

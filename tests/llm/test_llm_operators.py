@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -329,3 +330,17 @@ def test_sentences_of_dirty_documents(spark):
     assert counts[13] == 1 and counts[14] == 40_000 and not {10, 11, 12} & counts.keys() and counts[None] == 1
     assert got.filter("sent_start >= sent_end").count() == 0
     assert sentences.split_sentences(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_sentences_are_fitted_on_all_texts(spark):
+    schema = "doc_id long, text string, layout string"
+    long = "\n".join(f"The buyer {k} pays qualb. Osterman the price of the goods. The court decides." for k in range(80))
+    assert len(long) > 4_000
+    rows = [(k, "The holder pays the fee. The court decides the case.\nThe buyer pays.", "flow") for k in range(50)] + [(99, long, "flow"), (100, None, "flow")]
+    documents = spark.createDataFrame(rows, schema)
+    ends = {r["sent_end"] for r in sentences.split_sentences(documents).filter("doc_id = 99").collect()}
+    at = [m.end() for m in re.finditer("qualb\\.", long)]
+    assert not ends & set(at) and len(ends) == 160
+    whole, local = sentences.fit_all(documents), sentences.fit([(t, lay) for _, t, lay in rows if t])
+    assert whole.words == local.words and "qualb" in whole.words
+    assert all(whole.event[k] == pytest.approx(local.event[k], abs=1e-3) for k in local.event)
