@@ -33,7 +33,7 @@ def top_k(rows: DataFrame, by: list[str], score: str, tie: list[str], k: int, ra
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def _block_scores(ids: list, matrix: np.ndarray, k: int):
+def _block_scores(ids: list, matrix: np.ndarray, k: int, others: bool):
     norms = np.linalg.norm(matrix, axis=1)
     unit = matrix / np.where(norms == 0, 1, norms)[:, None]
 
@@ -49,6 +49,8 @@ def _block_scores(ids: list, matrix: np.ndarray, k: int):
                 raise ValueError("a vector holds a value that is not finite")
             n = np.linalg.norm(x, axis=1)
             scores = np.round(unit @ (x / np.where(n == 0, 1, n)[:, None]).T, 9)
+            if others:
+                scores[np.array(ids, dtype=np.int64)[:, None] == np.array([i for i, _ in rows], dtype=np.int64)[None, :]] = -np.inf
             best_s = np.concatenate([best_s, scores], axis=1)
             best_i = np.concatenate([best_i, np.broadcast_to(np.array([i for i, _ in rows], dtype=np.int64), scores.shape)], axis=1)
             order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
@@ -59,12 +61,12 @@ def _block_scores(ids: list, matrix: np.ndarray, k: int):
     return run
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_K, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_K, block: int = QUERY_BLOCK, others: bool = False) -> DataFrame:
     """Exact cosine top-k of each query vector over all rows (J7, T2), by matrix products per partition.
 
     ``queries`` and ``corpus``: vec_id, embedding. Queries are taken in blocks of bounded size, and each partition of
     the corpus passes on its k best rows of a query only. Vectors of another dimension or with nulls match nothing; a
-    value that is not finite is an error; ties go to the lower id.
+    value that is not finite is an error; ties go to the lower id. With ``others`` a query does not match its own id.
     """
     n = queries.count()
     wanted = queries.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
@@ -74,11 +76,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_K, block: i
         part = [(r["vec_id"], r["embedding"]) for r in wanted.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).toLocalIterator()]
         if not part:
             continue
-        found = rows.mapInArrow(_block_scores([i for i, _ in part], np.array([v for _, v in part], dtype=np.float64), k), "query_id long, vec_id long, similarity double")
+        found = rows.mapInArrow(_block_scores([i for i, _ in part], np.array([v for _, v in part], dtype=np.float64), k, others), "query_id long, vec_id long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    return top_k(out, ["query_id"], "similarity", ["vec_id"], k)
+    return top_k(out.filter(F.col("similarity") > float("-inf")) if others else out, ["query_id"], "similarity", ["vec_id"], k)
 
 
 def term_counts(texts: DataFrame, id_column: str, text: str) -> DataFrame:

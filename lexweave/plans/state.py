@@ -48,7 +48,7 @@ def exact_cache_ttl(spark, sf_dir):
 
 def semantic_cache_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    hits = retrieval.dense_topk(rows.filter("vec_id % 50 = 0"), rows.filter("vec_id % 50 <> 0"), k=1)
+    hits = retrieval.dense_topk(rows.filter("vec_id % 50 = 0"), rows, k=1, others=True)
     return state.semantic_lookup(hits, 0.5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "cache_hit")
 
 

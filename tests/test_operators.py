@@ -215,3 +215,12 @@ def test_citation_verify_counts_articles_without_a_law(spark, tmp_path):
     spark.createDataFrame(rows, "external_parent_id string, content string").write.parquet(str(tmp_path / "legal_parent_contract_v1.parquet"))
     got = plans.citation_verify(spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in got) == 3
+
+
+def test_semantic_cache_sees_other_queries(spark, tmp_path):
+    from lexweave.plans import state as plans
+
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (50, [1.0, 0.1]), (100, [0.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["query_id"]: (r["vec_id"], r["cache_hit"]) for r in plans.semantic_cache_lookup(spark, str(tmp_path)).collect()}
+    assert got == {0: (50, True), 50: (0, True), 100: (0, False)}
