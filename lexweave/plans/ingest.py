@@ -44,7 +44,7 @@ def delete_documents(spark, sf_dir):
 
 
 def identity_fingerprint(spark, sf_dir):
-    return ingest.fingerprint(table(spark, sf_dir, "legal_parent_contract_v1"), "document_identity").select("n")
+    return ingest.fingerprint(table(spark, sf_dir, "legal_parent_contract_v1"), "document_identity")
 
 
 def package_violations(spark, sf_dir):

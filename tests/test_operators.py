@@ -224,3 +224,14 @@ def test_semantic_cache_sees_other_queries(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r["query_id"]: (r["vec_id"], r["cache_hit"]) for r in plans.semantic_cache_lookup(spark, str(tmp_path)).collect()}
     assert got == {0: (50, True), 50: (0, True), 100: (0, False)}
+
+
+def test_identity_fingerprint_tells_sets_of_equal_size_apart(spark, tmp_path):
+    from lexweave.plans import ingest as plans
+
+    def of(name, values):
+        spark.createDataFrame([(v,) for v in values], "document_identity string").write.parquet(str(tmp_path / name / "legal_parent_contract_v1.parquet"))
+        return plans.identity_fingerprint(spark, str(tmp_path / name)).first()
+
+    a, b, c = of("a", ["x", "y", "y", None]), of("b", ["y", "x"]), of("c", ["x", "z"])
+    assert a == b and a["n"] == c["n"] == 2 and a["fingerprint"] != c["fingerprint"]
