@@ -87,27 +87,25 @@ def split_items(items: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER)
     content gives no piece, an empty one a single empty piece; items of a kind without a limit are left whole; null
     kinds and ids are kept.
     """
-    known = {r["item_kind"]: (r["size_unit"], r["max_size"], r["overlap_size"]) for r in limits.select("item_kind", "size_unit", "max_size", "overlap_size").distinct().limit(1000).collect()}
-    rows = items.select(F.col("item_kind").cast("string"), F.col("item_id").cast("string"), "content").filter(F.col("content").isNotNull())
-    over = F.lit(False)
-    for kind, (unit, most, _) in known.items():
-        over = over | ((F.col("item_kind") == kind) & ((F.length("content") > most) if unit == CHARACTERS else (F.octet_length("content") > most)))
-    over = F.coalesce(over, F.lit(False))
+    # one limit a kind; the join is left to adaptive execution, so any number of kinds will do
+    known = limits.groupBy("item_kind").agg(F.min(F.struct("size_unit", "max_size", "overlap_size")).alias("limit")).select("item_kind", "limit.*")
+    rows = items.select(F.col("item_kind").cast("string"), F.col("item_id").cast("string"), "content").filter(F.col("content").isNotNull()).join(known, "item_kind", "left")
+    size = F.when(F.col("size_unit") == CHARACTERS, F.length("content")).otherwise(F.octet_length("content"))
+    over = F.coalesce(size > F.col("max_size"), F.lit(False))
     schema = "item_kind string, item_id string, piece_no int, start_offset long, end_offset long, text string, cut string, n_pieces int"
     whole = rows.filter(~over).select("item_kind", "item_id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_offset"), F.length("content").cast("long").alias("end_offset"), F.col("content").alias("text"), F.lit("end").alias("cut"), F.lit(1).alias("n_pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for kind, item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                unit, most, overlap = known[kind]
+            for kind, item, text, unit, most, overlap in zip(*(c.to_pylist() for c in batch.columns)):
                 pieces = cut(text, most, overlap, unit, tokenizer)
                 out += [(kind, item, k, a, b, text[a:b], how, len(pieces)) for k, (a, b, how) in enumerate(pieces)]
             cols = list(zip(*out)) if out else [()] * 8
             types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["item_kind", "item_id", "piece_no", "start_offset", "end_offset", "text", "cut", "n_pieces"])
 
-    return whole.unionByName(rows.filter(over).mapInArrow(run, schema)).withColumn("digest", F.xxhash64("text"))
+    return whole.unionByName(rows.filter(over).select("item_kind", "item_id", "content", "size_unit", "max_size", "overlap_size").mapInArrow(run, schema)).withColumn("digest", F.xxhash64("text"))
 
 
 def distinct_pieces(pieces: DataFrame) -> DataFrame:

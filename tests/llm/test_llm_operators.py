@@ -344,3 +344,10 @@ def test_sentences_are_fitted_on_all_texts(spark):
     whole, local = sentences.fit_all(documents), sentences.fit([(t, lay) for _, t, lay in rows if t])
     assert whole.words == local.words and "qualb" in whole.words
     assert all(whole.event[k] == pytest.approx(local.event[k], abs=1e-3) for k in local.event)
+
+
+def test_splitting_knows_all_kinds(spark):
+    kinds = [f"kind {k}" for k in range(1_500)]
+    limits = spark.createDataFrame([(k, "characters", 20, 5) for k in kinds], LIMIT)
+    items = spark.createDataFrame([(k, "a", "x" * 30, None, None) for k in kinds], ITEM)
+    assert splitting.oversized(splitting.split_items(items, limits)).count() == 1_500
