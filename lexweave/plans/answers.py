@@ -24,7 +24,7 @@ def needle_variants(spark, sf_dir):
 
 
 def ground_truth_hits(spark, sf_dir):
-    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.array("target_doc").alias("doc_keys"), F.array(F.substring("passage", 1, 12)).alias("needles"))
+    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.array("target_doc").alias("doc_keys"), F.array("passage").alias("needles"))
     parents = table(spark, sf_dir, "legal_parent_contract_v1").select(F.split("document_identity", "@")[0].alias("doc_key"), "external_parent_id", F.col("content").alias("text")).dropDuplicates(["external_parent_id"])
     candidates = items.select("query_id", F.explode("doc_keys").alias("doc_key")).join(parents, "doc_key").withColumn("rank", F.lit(1)).drop("external_parent_id")
     return answers.ground_truth_hits(candidates, items).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"))

@@ -44,3 +44,13 @@ def test_answers(spark):
     assert mapped.first()["chunk_ids"] == ["c1"]
     a = spark.createDataFrame([(1, "a1", "xxxx", [1, 2]), (1, "a2", "x", [3])], "doc_id int, chunk_id string, content string, block_orders array<int>")
     assert answers.review_pairs(a, a, per_document=1).collect() == [(1, "a1", "a1")]
+
+
+def test_ground_truth_needs_the_whole_passage(spark, tmp_path):
+    from lexweave.plans import answers as plans
+
+    passage = "The buyer pays the price before delivery."
+    spark.createDataFrame([(1, "doc", passage)], "item_id long, target_doc string, passage string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    parents = [("doc@1", "a", "x " + passage.upper()), ("doc@1", "b", "The buyer pays later."), ("doc@1", "c", None)]
+    spark.createDataFrame(parents, "document_identity string, external_parent_id string, content string").write.parquet(str(tmp_path / "legal_parent_contract_v1.parquet"))
+    assert [tuple(r) for r in plans.ground_truth_hits(spark, str(tmp_path)).collect()] == [(1, 3, 1)]
