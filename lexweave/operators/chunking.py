@@ -37,7 +37,7 @@ def with_chunk_ids(chunks: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def length_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """Chunk length statistics with interpolated percentiles and size flags."""
+    """Chunk length statistics with interpolated percentiles and size flags (G2, G3 and the size counts of G5)."""
     n = F.length("content")
     return chunks.groupBy(*by).agg(
         F.count("*").alias("chunks"),

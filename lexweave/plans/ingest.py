@@ -106,7 +106,7 @@ def citation_verify(spark, sf_dir):
 
 
 def cn_numeral_table(spark, sf_dir):
-    return citations.numerals(spark, 200)
+    return citations.numerals(spark)
 
 
 def normalized_quotes(spark, sf_dir):

@@ -235,3 +235,11 @@ def test_identity_fingerprint_tells_sets_of_equal_size_apart(spark, tmp_path):
 
     a, b, c = of("a", ["x", "y", "y", None]), of("b", ["y", "x"]), of("c", ["x", "z"])
     assert a == b and a["n"] == c["n"] == 2 and a["fingerprint"] != c["fingerprint"]
+
+
+def test_numeral_table_is_whole(spark, tmp_path):
+    from lexweave.plans import ingest as plans
+
+    rows = plans.cn_numeral_table(spark, str(tmp_path)).collect()
+    assert [r["n"] for r in rows] == list(range(1, 10_000)) and all(citations.to_int(r["numeral"]) == r["n"] for r in rows)
+    assert rows[9998]["numeral"] == "九千九百九十九" and rows[1009]["numeral"] == "一千零一十"
