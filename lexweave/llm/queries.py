@@ -9,7 +9,7 @@ from lexweave.llm.boilerplate import main_blocks
 from lexweave.llm.leakage import leaked_passages
 from lexweave.llm.lookalikes import consistent_texts, needed_repair, suspect_texts
 from lexweave.llm.neardup import alike_pairs, duplicate_classes
-from lexweave.llm.packing import pack_documents, packing_summary
+from lexweave.llm.packing import pack_documents, packing_checks, packing_summary
 from lexweave.llm.repeated_lines import PLAIN, WIDE, cleaned_documents, repeated_blocks
 from lexweave.llm.sentences import split_sentences
 from lexweave.llm.splitting import distinct_pieces, oversized, split_items
@@ -96,6 +96,11 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_summary(p7_containers(spark, sf_dir), limit_of(spark, sf_dir, "document")[0])
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = materialize(p7_containers(spark, sf_dir))  # read four times
+    return packing_checks(packed, table(spark, sf_dir, "documents"), limit_of(spark, sf_dir, "document")[0])
+
+
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(_documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
@@ -125,6 +130,7 @@ QUERIES = {
     "p6_documents": p6_documents,
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
     "p9_found": p9_found,
@@ -157,6 +163,9 @@ SELECT DISTINCT 'parent' AS item_kind, external_parent_id AS item_id FROM legal_
 WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'parent')
 UNION ALL
 SELECT DISTINCT 'child', child_id FROM legal_child_v2 WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'child')""",
+    "p7_checks": """
+SELECT 'documents' AS check_name, count(DISTINCT doc_id) AS n FROM documents
+UNION ALL SELECT unnest(['broken_documents', 'oversized_pieces', 'containers_over', 'windows_over', 'mixed_containers', 'much_unused', 'unbalanced_steps', 'lost_documents']), 0""",
     "p6_found": _LINES + "SELECT * FROM gone",
     "p6_documents": _LINES + """
 , latest AS (

@@ -241,6 +241,45 @@ def test_packing_is_valid_and_tight(spark, seed):
     assert max(Counter(step.values()).values()) <= 4
 
 
+@pytest.mark.parametrize("tiers", [1, 3, 4])
+def test_packing_tiers_have_windows_of_their_own(spark, tiers):
+    rng = random.Random(9)
+    capacity = 64
+    counts = Counter(min(capacity, max(1, int(rng.expovariate(6 / capacity)))) for _ in range(5000))
+    packing_of = packing.Packing.of(counts, capacity, tiers)
+    assert [t.window for t in packing_of.tiers] == [capacity >> t for t in range(tiers)] and all(t.windows for t in packing_of.tiers)
+    rows = [(k, s) for k, s in enumerate(counts.elements())]
+    got = packing.pack_sizes(spark.createDataFrame(rows, "doc_id long, n_tokens long"), capacity, 4, tiers).collect()
+    windows, held, shortest = Counter(), defaultdict(set), {}
+    for r in got:
+        windows[r["window_id"], r["tier"]] += r["n_tokens"]
+        held[r["container_id"]].add((r["window_id"], r["tier"]))
+        shortest[r["doc_id"]] = r["tier"]
+    assert len(windows) == len({w for w, _ in windows}) == sum(t.windows for t in packing_of.tiers)
+    assert all(load <= tier for (_, tier), load in windows.items())
+    assert all(len({t for _, t in ws}) == 1 and len(ws) * next(iter(ws))[1] <= capacity for ws in held.values())
+    # every long window whose room would hold an item of a shorter tier has been filled before that tier opened its own
+    smallest_own = {t: min((s for s, places in packing_of.places.items() if any(p[1] == t for p in places)), default=capacity) for t in range(tiers)}
+    for t in range(tiers - 1):
+        assert max(packing_of.tiers[t].open_gaps) < min(smallest_own[u] for u in range(t + 1, tiers))
+    steps, members = Counter(), defaultdict(set)
+    for r in got:
+        steps[r["step_group"]] += r["n_tokens"]
+        members[r["step_group"]].add(r["container_id"])
+    means = [steps[k] / len(members[k]) for k in steps]
+    assert max(means) <= 1.1 * min(means) and max(map(len, members.values())) - min(map(len, members.values())) <= 1
+
+
+def test_packing_checks_find_faults(spark):
+    docs = spark.createDataFrame([(k, "x") for k in range(6)], "doc_id long, text string")
+    packed = packing.pack_sizes(spark.createDataFrame([(k, 10 * k + 1) for k in range(6)], "doc_id long, n_tokens long"), 32)
+    fine = {r["check_name"]: r["n"] for r in packing.packing_checks(packed, docs, 32, unused=1.0, spread=9.0).collect()}
+    assert fine.pop("documents") == 6 and set(fine.values()) == {0}
+    one = packed.withColumn("container_id", F.lit(0).cast("long")).withColumn("window_id", F.lit(0).cast("long")).filter("doc_id < 5")
+    bad = {r["check_name"]: r["n"] for r in packing.packing_checks(one, docs, 32).collect()}
+    assert bad["containers_over"] == bad["windows_over"] == bad["lost_documents"] == 1
+
+
 def test_packing_of_documents(spark):
     rows = [(1, "abc " * 400, 3), (2, None, None), (3, "", 1), (4, "条" * 100_000, 1)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), 256)
