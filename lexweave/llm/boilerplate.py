@@ -1,106 +1,115 @@
-"""Main body of web pages: flat text blocks classified by a decision tree over block and neighbour features."""
+"""Main body of web pages: flat text blocks classified by a decision tree over words and link density of neighbours."""
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import json
-import math
 import re
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.codes import code_points, slices
+from lexweave.llm.hyperminhash import shingle_hashes
+from lexweave.llm.repeated_lines import line_key
 from lexweave.session import materialize
 
-LABELLED = Path(__file__).with_name("resources") / "labelled_blocks.jsonl"  # 510 blocks of 42 pages with their labels
-SPAN = 5  # neighbouring runs whose least mean odds show furniture within a line
-FOLDS = 7
-DEPTH, LEAF = 8, 4
+LABELLED = Path(__file__).with_name("resources") / "labelled_blocks.jsonl"  # 1,041 blocks of 120 pages, labelled by hand
+FOLDS = 6
+DEPTH, LEAF = 7, 3
+WIDE_RUN, NARROW_RUN = 2, 5  # characters of a run that starts with an ideograph or kana, and of any other
+WIDE = 0x3000
+STEP = 0.75  # wording is rounded to this, so that the tree cannot follow single runs
+PRIOR = 3.0  # runs of no meaning added to each block
 SALTS = 16  # parts in which the blocks with one line of a site are joined
 MIN_PAGES = 2  # pages of a site from which a line counts as shared
+FEATURES = ("words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "wording", "site_share")
+OWN = ("words", "link_density", "links")
 
-_PART = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[|»>©/]|\.\.\.")
-_CLIPPED = re.compile(r"(…|\.\.\.)\s*\Z")
-_PATH = re.compile(r"\S\s*(?:[»›>]|\s/\s)\s*\S")
-_SENTENCE_END = re.compile(r"[。！？!?.;；][”\"’)）\]]*\s*\Z")
-FEATURES = ("gram_mean", "gram_least", "gram_sum", "gram_low", "words", "lines", "ended", "signs", "digits", "clipped", "open_lines", "paths", "link_density", "site_share", "prev_words", "next_words", "prev_density", "next_density", "prev_gram", "next_gram")
+_CLIPPED = re.compile(r"(…|\.\.\.)\s*\Z", re.M)
+_IDEOGRAPH = r"[぀-ヿ㐀-鿿]"
+_WORD = r"[\p{L}\p{M}&&[^぀-ヿ㐀-鿿]]+|\p{N}+"
+_TEXT_END = r"(?:[。！？!?.；;।؟:：][”\"’»」』)）\]]*|\d)\s*$"
+_CUT = r"(?:…|\.\.\.)\s*$"
+_CUTS = r"(?m)(?:…|\.\.\.)\s*$"
+_LINK_SIGN = r"\s[>»›/|]\s|[|｜]"
 
 
-def plain(text: str) -> str:
-    """Letters and numbers alone, folded, each number as one 0."""
-    folded = unicodedata.normalize("NFKC", text).lower()
-    return re.sub(r"\d+", "0", "".join(c for c in folded if c.isalnum()))
+def count_words(text: Column) -> Column:
+    """Words of a text; two ideographs or kana make one."""
+    return F.regexp_count(text, F.lit(_IDEOGRAPH)) / 2 + F.regexp_count(text, F.lit(_WORD))
 
 
-def grams(text: str) -> list[str]:
-    """Words of a line, numbers as 0, and pairs of neighbouring ideographs, with marks for its ends."""
-    parts = _PART.findall(re.sub(r"\d+", "0", unicodedata.normalize("NFKC", text).lower()))
-    out, last = [], "^"
-    for p in parts:
-        wide = len(p) == 1 and p >= "぀"
-        if wide or len(last) == 1 and last >= "぀" or last == "^":
-            out.append(last + p)
-        if not wide:
-            out.append(p)
-        last = p
-    return [*out, last + "$"]
-
-
-def count_words(text: str) -> float:
-    """Words; two ideographs make one."""
-    wide = sum("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" for c in text)
-    return wide / 2 + len(re.findall(r"[^\W\d_぀-ヿ㐀-鿿]+|\d+", text))
+def own_features(text: Column) -> dict[str, Column]:
+    """Words, link density and number of links of a block, read off its text.
 
+    The given densities and counts mislead, so links are told by their form: a line that ends with no mark and no
+    number, or is clipped, is an anchor, and signs of a path or a bar part it into several; clipped text has a second
+    one, to the page it is taken from. The density is the share of words that stand in such lines.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != "")
+    anchors = F.array_join(F.filter(lines, lambda x: x.rlike(_CUT) | ~x.rlike(_TEXT_END)), "\n")
+    words = count_words(plain)
+    n_links = F.when(anchors == "", 0).otherwise(F.regexp_count(anchors, F.lit(_LINK_SIGN)) + F.regexp_count(anchors, F.lit("\n")) + F.regexp_count(anchors, F.lit(_CUTS)) + 1)
+    return {"words": words, "link_density": F.when(words > 0, count_words(anchors) / words).otherwise(0.0), "links": n_links.cast("double")}
+
+
+def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character runs of each text with the text's number; case, width and digits do not count."""
+    codes, starts = code_points(pa.array([f"\x01{t or ''}\x01" for t in texts], pa.string()))
+    c = codes.astype(np.int64)
+    c[(c >= 0xFF01) & (c <= 0xFF5E)] -= 0xFEE0
+    c[(c >= 0x41) & (c <= 0x5A)] += 0x20
+    c[(c >= 0x30) & (c <= 0x39)] = 0x30
+    plain, wide = c.astype(np.uint32), c >= WIDE
+    hashes = np.zeros(len(c), dtype=np.uint64)
+    for size, which in ((WIDE_RUN, wide), (NARROW_RUN, ~wide)):
+        got = shingle_hashes(plain, size)
+        at = np.flatnonzero(which[: len(got)])
+        hashes[at] = got[at]
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    inside = np.arange(len(c)) + np.where(wide, WIDE_RUN, NARROW_RUN) <= starts[owner + 1]
+    return hashes[inside], owner[inside]
 
-def fit_grams(rows: list[tuple[str, bool]]) -> dict[str, float]:
-    """Log odds of each character run for main text, from the numbers of lines that hold it.
 
-    Lists of mere titles, teasers and breadcrumbs are left out: their words are those of headings and main text, and
-    their form tells them apart.
-    """
-    good, bad = Counter(), Counter()
-    for text, main in rows:
-        lines = text.split("\n")
-        if main or not (_PATH.search(text) or any(_CLIPPED.search(x) for x in lines) or len(lines) > 2 and not any(_SENTENCE_END.search(x) for x in lines)):
-            for line in lines:
-                (good if main else bad).update(set(grams(line)))
-    n, m = sum(good.values()) + 1, sum(bad.values()) + 1
-    return {g: math.log((good[g] + 0.5) / n) - math.log((bad[g] + 0.5) / m) for g in good.keys() | bad.keys() if good[g] + bad[g] > 1}
-
-
-def text_features(text: str, odds: dict[str, float]) -> dict[str, float]:
-    """Features of one block's own text; a block without any known run scores 0."""
-    lines = [x for x in text.split("\n") if x.strip()] or [""]
-    means, total, low = [], 0.0, 9.0
-    for line in lines:
-        known = [odds[g] for g in grams(line) if g in odds]
-        total += sum(known)
-        means.append(sum(known) / len(known) if known else 0.0)
-        low = min([low, *(sum(known[k : k + SPAN]) / SPAN for k in range(max(1, len(known) - SPAN + 1)))])
-    dense = re.sub(r"\s", "", text)
-    ended = [bool(_SENTENCE_END.search(x)) for x in lines]
-    return {
-        "gram_mean": sum(means) / len(means),
-        "gram_least": min(means),
-        "gram_sum": max(-60.0, min(60.0, total)),
-        "gram_low": low,
-        "words": count_words(text),
-        "lines": float(len(lines)),
-        "ended": sum(ended) / len(lines),
-        "clipped": sum(bool(_CLIPPED.search(x)) for x in lines) / len(lines),
-        "open_lines": float(sum(not e and not x.rstrip()[-1:].isdigit() for e, x in zip(ended, lines))),
-        "paths": float(len(_PATH.findall(text))),
-        "signs": sum(not c.isalnum() for c in dense) / max(1, len(dense)),
-        "digits": sum(c.isdigit() for c in dense) / max(1, len(dense)),
-    }
+@dataclass
+class Wording:
+    """Log odds of character runs for main text, sorted by hash."""
+
+    keys: np.ndarray
+    odds: np.ndarray
+
+    @classmethod
+    def fit(cls, texts: list[str | None], main: np.ndarray, links: np.ndarray) -> "Wording":
+        """Runs are counted once a block; those of one block alone are left out.
+
+        Furniture of several links or clipped text counts for neither side: its words are titles and main text, and
+        its form tells it apart.
+        """
+        hashes, owner = runs(texts)
+        told = main | ((links < 2) & np.array([not _CLIPPED.search(t or "") for t in texts], dtype=bool))
+        seen = np.unique(np.stack([hashes, owner.astype(np.uint64)], axis=1)[told[owner]], axis=0)
+        keys, place = np.unique(seen[:, 0], return_inverse=True)
+        of_main = main[seen[:, 1].astype(np.int64)]
+        good, bad = np.bincount(place, of_main, len(keys)), np.bincount(place, ~of_main, len(keys))
+        odds = np.log((good + 0.5) / (main.sum() + 1)) - np.log((bad + 0.5) / ((told & ~main).sum() + 1))
+        often = good + bad > 1
+        return cls(keys[often], odds[often])
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Mean log odds of a text's known runs, in steps; 0 for a text without any."""
+        if not len(self.keys):
+            return np.zeros(len(texts))
+        hashes, owner = runs(texts)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        sums, n = np.bincount(owner[known], self.odds[at[known]], len(texts)), np.bincount(owner[known], minlength=len(texts))
+        return np.round(sums / (n + PRIOR) / STEP) * STEP
 
 
 @dataclass
@@ -111,6 +120,10 @@ class Node:
     low: "Node | None" = None
     high: "Node | None" = None
 
+    def splits(self) -> list[str]:
+        """Features of the splits, from the root down."""
+        return [] if self.feature < 0 else [FEATURES[self.feature], *self.low.splits(), *self.high.splits()]
+
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF) -> Node:
     """A binary tree by Gini impurity; missing values are -1."""
@@ -144,50 +157,47 @@ def as_column(node: Node) -> Column:
     return F.when(F.col(FEATURES[node.feature]) <= node.cut, as_column(node.low)).otherwise(as_column(node.high))
 
 
-@functools.cache
-def model(labelled: str = str(LABELLED)) -> tuple[dict[str, float], Node]:
-    """Gram odds and tree of the labelled blocks.
+def with_neighbours(blocks: DataFrame) -> DataFrame:
+    """Words and link density of the block before and after on the page; -1 where there is none."""
+    w = Window.partitionBy("page_id").orderBy("candidate_no")
+    near = {f"{name}_{short}": F.coalesce(f(own).over(w), F.lit(-1.0)) for name, f in (("prev", F.lag), ("next", F.lead)) for short, own in (("words", "words"), ("density", "link_density"))}
+    return blocks.withColumns(near)
+
+
+_models: dict[str, tuple[Wording, Node]] = {}
+
+
+def model(spark: SparkSession, labelled: str = str(LABELLED)) -> tuple[Wording, Node]:
+    """Wording and tree of the labelled blocks, fitted once a session's process.
 
-    The tree learns from gram scores that each page gets from odds fitted on the other pages.
+    The labelled table is small by design: it is read, and its features collected, on the driver. Features come from
+    the expressions that every block goes through; the tree learns from wording scores that each page gets from odds
+    fitted on the other pages.
     """
+    if labelled in _models:
+        return _models[labelled]
     rows = [json.loads(line) for line in Path(labelled).read_text(encoding="utf-8").splitlines()]
-    pages: dict[int, list[dict]] = {}
+    pages = {key: k for k, key in enumerate(sorted({(r["table"], r["page"]) for r in rows}))}
     for r in rows:
-        pages.setdefault(r["page"], []).append(r)
-    x, y = [], []
+        r["page"] = pages[r["table"], r["page"]]
+    frame = spark.createDataFrame([(r["page"], r["no"], r["text"], float(r["site_share"]), r["main"]) for r in rows], "page_id long, candidate_no int, text string, site_share double, main boolean")
+    got = with_neighbours(frame.withColumns(own_features(F.col("text")))).orderBy("page_id", "candidate_no").collect()
+    texts, main, page = [r["text"] for r in got], np.array([r["main"] for r in got], dtype=bool), np.array([r["page_id"] for r in got])
+    links, wording = np.array([r["links"] for r in got]), np.zeros(len(got))
     for fold in range(FOLDS):
-        odds = fit_grams([(r["text"] or "", r["label"] == "y") for r in rows if r["page"] % FOLDS != fold])
-        for page, blocks in pages.items():
-            if page % FOLDS != fold:
-                continue
-            blocks = sorted(blocks, key=lambda r: r["no"])
-            own = [text_features(b["text"] or "", odds) for b in blocks]
-            density = [-1.0 if b["link_density"] is None else b["link_density"] for b in blocks]
-            for k, b in enumerate(blocks):
-                f = own[k] | {"link_density": density[k], "site_share": b["site_share"]}
-                for name, j in (("prev", k - 1), ("next", k + 1)):
-                    there = 0 <= j < len(blocks)
-                    f |= {f"{name}_words": own[j]["words"] if there else -1.0, f"{name}_density": density[j] if there else -1.0, f"{name}_gram": own[j]["gram_mean"] if there else 0.0}
-                x.append([f[name] for name in FEATURES])
-                y.append(b["label"] == "y")
-    odds = fit_grams([(r["text"] or "", r["label"] == "y") for r in rows])
-    return odds, grow(np.array(x), np.array(y, dtype=float))
-
-
-_OWN = "page_id long, candidate_no int, site string, line_key long, link_density double, gram_mean double, gram_least double, gram_sum double, gram_low double, words double, lines double, ended double, signs double, digits double, clipped double, open_lines double, paths double"
-
-
-def _score(odds: dict[str, float]):
+        out = page % FOLDS == fold
+        fitted = Wording.fit([t for t, o in zip(texts, out) if not o], main[~out], links[~out])
+        wording[out] = fitted.score([t for t, o in zip(texts, out) if o])
+    x = np.array([[w if f == "wording" else r[f] for f in FEATURES] for r, w in zip(got, wording)], dtype=float)
+    _models[labelled] = Wording.fit(texts, main, links), grow(x, main.astype(float))
+    return _models[labelled]
+
+
+def _score(wording: Wording, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            own = [text_features(t, odds) for t in texts]
-            keys = [int.from_bytes(hashlib.blake2b(plain(t).encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
-            names = FEATURES[:12]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("candidate_no"), batch.column("site"), pa.array(keys, pa.int64()), batch.column("link_density"), *(pa.array([o[n] for o in own], pa.float64()) for n in names)],
-                ["page_id", "candidate_no", "site", "line_key", "link_density", *names],
-            )
+        for batch in (b for whole in batches for b in slices(whole, "text")):
+            score = pa.array(wording.score(batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), score], [*columns, "wording"])
 
     return run
 
@@ -199,27 +209,28 @@ def shared_lines(blocks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return lines.join(pages, "site").select("site", "line_key", ((F.col("n_pages") - 1) / F.col("n_site")).alias("site_share"))
 
 
-def block_features(candidates: DataFrame, odds: dict[str, float], salts: int = SALTS) -> DataFrame:
-    """All ``FEATURES`` of each block; missing densities and neighbours are -1."""
-    rows = candidates.select(F.col("page_id").cast("long"), F.col("candidate_no").cast("int"), F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string"), F.col("link_density").cast("double"), F.col("fetched_at"))
+def block_features(candidates: DataFrame, wording: Wording, salts: int = SALTS) -> DataFrame:
+    """All ``FEATURES`` of each block. A page's blocks meet in one task, for a page is a bounded thing."""
+    rows = candidates.select(F.col("page_id").cast("long"), F.col("candidate_no").cast("int"), F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string"), F.col("fetched_at"))
     rows = rows.filter(F.col("page_id").isNotNull() & F.col("candidate_no").isNotNull()).repartition("page_id")
-    latest = rows.groupBy("page_id", "candidate_no").agg(F.max(F.struct("fetched_at", "text", "link_density", "site")).alias("r")).select("page_id", "candidate_no", "r.text", "r.link_density", "r.site")
-    own = materialize(latest.select("page_id", "candidate_no", "site", "text", "link_density").mapInArrow(_score(odds), _OWN))  # read three times
+    newest = Window.partitionBy("page_id", "candidate_no").orderBy(F.col("fetched_at").desc_nulls_last(), F.col("text").desc_nulls_last())
+    latest = rows.withColumn("n", F.row_number().over(newest)).filter("n = 1")
+    columns = ["page_id", "candidate_no", "site", "line_key", *OWN]
+    read = latest.select("page_id", "candidate_no", "site", F.xxhash64(F.coalesce(line_key(F.col("text")), F.lit(""))).alias("line_key"), *[c.alias(n) for n, c in own_features(F.col("text")).items()], "text")
+    own = materialize(read.mapInArrow(_score(wording, columns), "page_id long, candidate_no int, site string, line_key long, words double, link_density double, links double, wording double"))  # read three times
     often = shared_lines(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    joined = salted.join(often, ["site", "line_key", "salt"], "left").select("page_id", "candidate_no", *FEATURES[:12], F.coalesce("link_density", F.lit(-1.0)).alias("link_density"), F.coalesce("site_share", F.lit(0.0)).alias("site_share"))
-    w = Window.partitionBy("page_id").orderBy("candidate_no")
-    near = {f"{name}_{short}": F.coalesce(f(long).over(w), F.lit(0.0 if short == "gram" else -1.0)) for name, f in (("prev", F.lag), ("next", F.lead)) for short, long in (("words", "words"), ("density", "link_density"), ("gram", "gram_mean"))}
-    return joined.withColumns(near)
+    joined = salted.join(often, ["site", "line_key", "salt"], "left").select("page_id", "candidate_no", *OWN, "wording", F.coalesce("site_share", F.lit(0.0)).alias("site_share"))
+    return with_neighbours(joined)
 
 
 def main_blocks(candidates: DataFrame, labelled: str = str(LABELLED)) -> DataFrame:
     """``page_id``, ``candidate_no`` and the tree's ``share`` of main text for every block, kept where it is over a half.
 
-    The tree runs inside the JVM over features of the block and its neighbours. Tags, classes and the given counts are
-    not used, for they mislead. Null and empty texts are no main block; a missing link density is a value of its own; blocks
-    without a page or number are left out; of repeated rows the latest counts, ties by the greater text; a page of
-    nothing but furniture has no row.
+    The tree runs inside the JVM over features of the block and its neighbours. Tags, classes and the given counts and
+    densities are not used, for they mislead. Null and empty texts are no main block; blocks without a page or number
+    are left out; of repeated rows the latest counts, ties by the greater text; a page of nothing but furniture has no
+    row.
     """
-    odds, tree = model(labelled)
-    return block_features(candidates, odds).filter(F.col("words") > 0).select("page_id", "candidate_no", as_column(tree).alias("share")).filter(F.col("share") > 0.5)
+    wording, tree = model(candidates.sparkSession, labelled)
+    return block_features(candidates, wording).filter(F.col("words") > 0).select("page_id", "candidate_no", as_column(tree).alias("share")).filter(F.col("share") > 0.5)

@@ -50,14 +50,30 @@ def test_boilerplate_finds_the_article_and_survives_dirt(spark):
     assert boilerplate.main_blocks(spark.createDataFrame([], PAGE)).count() == 0
 
 
-def test_boilerplate_held_out_accuracy():
+def test_boilerplate_tree_on_held_out_pages(spark):
     import json
-
-    rows = [json.loads(line) for line in boilerplate.LABELLED.read_text(encoding="utf-8").splitlines()]
-    odds = boilerplate.fit_grams([(r["text"] or "", r["label"] == "y") for r in rows if r["page"] % 4])
-    held = [r for r in rows if r["page"] % 4 == 0]
-    right = sum((boilerplate.text_features(r["text"] or "", odds)["gram_mean"] > 0) == (r["label"] == "y") for r in held)
-    assert len(held) > 150 and right / len(held) > 0.75  # the tree adds form, neighbours and site to this single score
+    from pathlib import Path
+
+    held = [json.loads(line) for line in Path(__file__).with_name("held_out_blocks.jsonl").read_text(encoding="utf-8").splitlines()]
+    known = {json.loads(line)["text"] for line in boilerplate.LABELLED.read_text(encoding="utf-8").splitlines()}
+    assert len(held) > 300 and not [r for r in held if r["main"] and r["text"] in known]
+    wording, tree = boilerplate.model(spark)
+    used = tree.splits()
+    assert {"link_density", "words"} <= set(used) and set(used) & {"prev_words", "next_words", "prev_density", "next_density"} and used.count("wording") <= len(used) / 2
+    score = wording.score([r["text"] for r in held])
+    rows = [(r["page"], r["no"], r["text"], float(r["site_share"]), float(w), r["main"]) for r, w in zip(held, score)]
+    frame = spark.createDataFrame(rows, "page_id long, candidate_no int, text string, site_share double, wording double, main boolean")
+    features = boilerplate.with_neighbours(frame.withColumns(boilerplate.own_features(F.col("text"))))
+    got = features.select("main", ((boilerplate.as_column(tree) > 0.5) & (F.col("words") > 0)).alias("said")).collect()
+    both, true, said = sum(r["main"] and r["said"] for r in got), sum(r["main"] for r in got), sum(r["said"] for r in got)
+    assert both / true >= 0.9 and both / said >= 0.9
+
+
+def test_block_features_are_read_off_the_text(spark):
+    texts = ["Home Contact Search", "A > B > C", "The lessee pays 5 marks.\nRead more", "条款规定如下。", "推荐：合同到期后……", "box 12.50 AB-12", "", None]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumns(boilerplate.own_features(F.col("text")))
+    got = [(r["words"], round(r["link_density"], 3), r["links"]) for r in frame.orderBy("k").collect()]
+    assert got == [(3.0, 1.0, 1.0), (3.0, 1.0, 3.0), (7.0, 0.286, 1.0), (3.0, 0.0, 0.0), (3.5, 1.0, 2.0), (5.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
 
 
 def test_tree_and_its_expression_agree(spark):
