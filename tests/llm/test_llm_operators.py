@@ -57,23 +57,26 @@ def test_boilerplate_tree_on_held_out_pages(spark):
     held = [json.loads(line) for line in Path(__file__).with_name("held_out_blocks.jsonl").read_text(encoding="utf-8").splitlines()]
     known = {json.loads(line)["text"] for line in boilerplate.LABELLED.read_text(encoding="utf-8").splitlines()}
     assert len(held) > 300 and not [r for r in held if r["main"] and r["text"] in known]
-    wording, tree = boilerplate.model(spark)
+    wording, tree = boilerplate.model()
     used = tree.splits()
     assert {"link_density", "words"} <= set(used) and set(used) & {"prev_words", "next_words", "prev_density", "next_density"} and used.count("wording") <= len(used) / 2
-    score = wording.score([r["text"] for r in held])
-    rows = [(r["page"], r["no"], r["text"], float(r["site_share"]), float(w), r["main"]) for r, w in zip(held, score)]
-    frame = spark.createDataFrame(rows, "page_id long, candidate_no int, text string, site_share double, wording double, main boolean")
-    features = boilerplate.with_neighbours(frame.withColumns(boilerplate.own_features(F.col("text"))))
+    texts = boilerplate.Texts.of(pa.array([r["text"] for r in held], pa.string()))
+    words, density, _ = texts.form()
+    rows = [(r["page"], r["no"], float(w), float(d), float(r["site_share"]), float(o), r["main"]) for r, w, d, o in zip(held, words, density, wording.score(texts))]
+    features = boilerplate.with_neighbours(spark.createDataFrame(rows, "page_id long, candidate_no int, words double, link_density double, site_share double, wording double, main boolean"))
     got = features.select("main", ((boilerplate.as_column(tree) > 0.5) & (F.col("words") > 0)).alias("said")).collect()
     both, true, said = sum(r["main"] and r["said"] for r in got), sum(r["main"] for r in got), sum(r["said"] for r in got)
     assert both / true >= 0.9 and both / said >= 0.9
 
 
-def test_block_features_are_read_off_the_text(spark):
-    texts = ["Home Contact Search", "A > B > C", "The lessee pays 5 marks.\nRead more", "条款规定如下。", "推荐：合同到期后……", "box 12.50 AB-12", "", None]
-    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumns(boilerplate.own_features(F.col("text")))
-    got = [(r["words"], round(r["link_density"], 3), r["links"]) for r in frame.orderBy("k").collect()]
-    assert got == [(3.0, 1.0, 1.0), (3.0, 1.0, 3.0), (7.0, 0.286, 1.0), (3.0, 0.0, 0.0), (3.5, 1.0, 2.0), (5.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+def test_block_features_are_read_off_the_text():
+    lines = ["Home Contact Search", "A > B > C", "The lessee pays 5 marks.\nRead more", "条款规定如下。", "推荐：合同到期后……", "box 12.50 AB-12", "", None, "Ends here.”  ", "Wait...\n\n \nx|y", "…"]
+    got = [tuple(np.round(x, 3)) for x in zip(*boilerplate.Texts.of(pa.array(lines, pa.string())).form())]
+    assert got == [(3, 1, 1), (3, 1, 3), (7, 0.286, 1), (3, 0, 0), (3.5, 1, 2), (5, 0, 0), (0, 0, 0), (0, 0, 0), (2, 0, 0), (3, 1, 4), (0, 0, 2)]
+    empty = boilerplate.Texts.of(pa.array([], pa.string()))
+    assert len(empty.form()[0]) == len(empty.line_keys()) == 0
+    same = boilerplate.Texts.of(pa.array(["Page 12, of 345!", "ＰＡＧＥ 7 of 9", "page of", "", None, "Page12of1"], pa.string())).line_keys()
+    assert same[0] == same[1] == same[5] != same[2] and same[3] == same[4] == 0
 
 
 def test_tree_and_its_expression_agree(spark):
