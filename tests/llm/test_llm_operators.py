@@ -380,6 +380,25 @@ def test_sentences():
     assert split(4) == ["ผู้เช่าต้องชำระค่าปรับภายใน 13 วัน", "ผู้ขนส่งมีสิทธิแจ้ง", "เจ้าหนี้ต้องคืนทรัพย์"] and len(split(5)) == 2
 
 
+@pytest.mark.parametrize(("script", "left", "mark", "right"), [("cjk", "<cjk>", "。", "债"), ("latin", "fee", "!", "The"), (chr(0x0900 >> 7), "है", "।", "वह"), (chr(0x0600 >> 7), "كلمة", "؟", "هو"), (sentences._THAI, "<letter>", " ", "ผู้")])
+def test_counts_overrule_the_prior_of_a_mark(script, left, mark, right):
+    key = sentences._PART.join((left, mark, right))
+    assert sentences.Model().decide([script], [key]).tolist() == [True]
+    model = sentences.Model(words={left, right})
+    model.seen[left, mark] = model.seen[mark] = 5000
+    assert model.decide([script], [key]).tolist() == [False]
+
+
+def test_an_event_right_after_an_event_is_learnt():
+    model = sentences.Model()
+    model.event["near"], model.seen["near"] = 0.0, 100.0
+    alone = model.run_posteriors([(0.4, 0.6)])[0]
+    first, second = model.run_posteriors([(0.4, 0.6), (0.3, 0.7)])
+    assert alone == pytest.approx(0.6) and first < alone and second < 0.7 and first + second < 1.0
+    model.event["near"] = 100.0
+    assert model.run_posteriors([(0.4, 0.6), (0.3, 0.7)]) == pytest.approx([0.6, 0.7], abs=0.02)
+
+
 def test_sentences_of_dirty_documents(spark):
     schema = "doc_id long, text string, layout string, sent_end int"
     rows = [(k, t, lay, 1) for k, (t, lay) in enumerate(TEXTS)] + [(10, None, "flow", 1), (11, "", None, 1), (12, "  \n \n", "wrapped", 1), (13, "无标点的文本", None, 1), (14, "句子。" * 20_000, "flow", 1), (14, "句子。" * 20_000, "flow", 1), (None, "x.", None, None)]
@@ -399,7 +418,7 @@ def test_sentences_are_fitted_on_all_texts(spark):
     ends = {r["sent_end"] for r in sentences.split_sentences(documents).filter("doc_id = 99").collect()}
     at = [m.end() for m in re.finditer("qualb\\.", long)]
     assert not ends & set(at) and len(ends) == 160
-    whole, local = sentences.fit_all(documents), sentences.fit([(t, lay) for _, t, lay in rows if t])
+    whole, local = sentences.fit_all(sentences.parsed_texts(documents.filter("text IS NOT NULL"))), sentences.fit([(t, lay) for _, t, lay in rows if t])
     assert whole.words == local.words and "qualb" in whole.words
     assert all(whole.event[k] == pytest.approx(local.event[k], abs=1e-3) for k in local.event)
 
