@@ -31,7 +31,7 @@ from lexweave.session import materialize
 ROUNDS = 7
 FINAL_WEIGHT = 0.3  # of a block end among the gaps inside blocks
 ANCHOR = 0.8  # weight of the rates that block ends give to shapes of left words, against those of a round
-PRIOR = {False: 0.8, True: 1.0}  # share of the gaps at marks, and at spaces of a script without marks, that holds events before any count
+OTHER_RATE = 0.6  # of the gaps at the other marks, before any count
 RARE = 4  # words seen less often are known by their shape
 FLUSH = 200_000  # keys that a task counts before it passes them on
 UNIT = 1_000_000  # expected counts are summed in millionths, so their sums do not depend on the order
@@ -235,7 +235,7 @@ class Model:
         def word(counts: dict) -> float:
             return counts[k, r] / max(1.0, counts[k, "shape", shape])
 
-        after_event = (self.start[k, "shape", shape] + 1) / (self.start[k] + 12) * (0.9 * word(self.start) + 0.1 * among)
+        after_event = (self.start[k, "shape", shape] + 0.1) / (self.start[k] + 1.2) * (0.9 * word(self.start) + 0.1 * among)
         loose = (self.inner[k, "shape", shape] + 1) / (self.inner[k] + 12)
         # a script without a certain word inside sentences has nothing but guesses to tell how one goes on
         going_on = 0.45 * word(self.inner) + 0.45 * word(self.after) + 0.1 * among if self.inner[k] else among
@@ -427,25 +427,26 @@ def refine(model: Model, totals: Iterable[tuple], expected: Callable[[Model], It
     Block ends with a mark are events for certain and block starts show what follows one; words after a plain space
     show what follows none. The events inside blocks are latent: each round takes their posteriors for counts.
     """
+    group = lambda mark: mark if mark in MARKS else ""
     final, gap, n_final, n_gap = Counter(), Counter(), Counter(), Counter()
     for kind, k, key, n in totals:
         a, b = key.split(_PART)
         if kind == "final":
             final[a, b] += n
-            n_final[b == " "] += n
+            n_final[group(b)] += n
         elif kind == "gap":
             gap[a, b] += n
-            n_gap[b == " "] += n
+            n_gap[group(b)] += n
         else:
             table = {"start": model.start, "inner": model.inner, "base": model.base}[kind]
             table[k] += n
             table[k, a] += n
             table[k, "shape", b] += n
-    # of sentence ends those that are block ends; texts without marks have their own
-    share = {k: max(0.05, n_final[k] / max(1, n_final[k] + PRIOR[k] * n)) for k, n in n_gap.items()}
+    # the sentence ends of a mark that are block ends; marks of mixed use share one figure
+    share = {m: (n_final[m] + 1) / (n_final[m] + 1 + (MARK_RATE if m else OTHER_RATE) * n) for m, n in n_gap.items()}
     first = {}
     for (a, b), n in gap.items():  # words that end no block end few sentences
-        first[a, b] = min(0.97 * n, (1 if a[0] == "<" else 3) * (final[a, b] + 0.02) * (1 / share[b == " "] - 1))
+        first[a, b] = min(0.97 * n, (1 if a[0] == "<" else 3) * (final[a, b] + 0.02) * (1 / share[group(b)] - 1))
     for key, n in sorted(gap.items()):
         for k in (key, key[1]):
             model.event[k] += first[key]
