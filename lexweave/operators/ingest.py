@@ -34,11 +34,13 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def fingerprint(rows: DataFrame, column: str) -> DataFrame:
     """Count of a column's distinct values and one order-free hash of them.
 
-    The hash adds the values' own hashes, so it is partial per task and never gathers the set.
+    The five 48-bit pieces of the values' SHA-256 are added up each, so the hash is partial per task and never gathers
+    the set; the SHA-256 of the count and the five sums is the fingerprint. Nulls do not count.
     """
-    values = rows.select(F.col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    part = F.conv(F.substring(F.sha2(F.col("v").cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return values.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("fingerprint"))
+    values = rows.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).filter(F.col("h").isNotNull()).distinct()
+    pieces = [F.sum(F.conv(F.substring("h", 12 * k + 1, 12), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(5)]
+    sums = values.agg(F.count("*").alias("n"), *pieces)
+    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.coalesce(f"p{k}", F.lit(0)).cast("string") for k in range(5)]), 256).alias("fingerprint"))
 
 
 def fetch_parents(ids: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:

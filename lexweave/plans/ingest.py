@@ -105,6 +105,29 @@ def citation_verify(spark, sf_dir):
     return citations.verify_citations(rows).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_RENT_ACT = "[Source Metadata]\ntitle=中华人民共和国租赁法\nsource_file=a.pdf\n\n第三十条 出租人应当在三十日内退还押金，并\n—9—\n出具收据；逾期的，按百分之五支付违约金。\n第三十一条 承租人应当按月支付租金。"
+_CITATION_CASES = (
+    (1, "依据《租赁法》：第三十条: 出租人应当在三十日内退还押金，并出具收据", [_RENT_ACT]),  # words of the article
+    (2, "依据《租赁法》第三十条: 按百分之五十支付违约金。", [_RENT_ACT]),  # another number
+    (3, "依据《租赁法》第三十一条: 承租人应当按月交付租金。", [_RENT_ACT]),  # one letter of eleven differs
+    (4, "依据《租赁法》第三十一条: 施工图纸由登记机关保存。", [_RENT_ACT]),  # other words
+    (5, "依据《租赁法》第四十条: 承租人可以解除合同。", [_RENT_ACT]),
+    (6, "《海商法》第三十条: 出租人应当退还押金。", [_RENT_ACT]),
+    (7, "根据《租赁法》第三十条的规定办理", [_RENT_ACT]),  # spoken of, not quoted
+    (8, "《租赁法》第三十条、第三十一条、第三十九条至第四十条", [_RENT_ACT]),
+    (9, "第三十条有规定", [_RENT_ACT]),
+    (10, "《租赁法》第三十条", []),
+    (11, "《租赁法》第三十条：逾期的，按百分之五支付违约金。出租人应当在三十日内退还押金。", [_RENT_ACT]),  # sentences in another order
+    (12, None, [_RENT_ACT]),
+)
+
+
+def citation_cases(spark, sf_dir):
+    """The ladder of checks over answers and evidence of known outcome."""
+    rows = spark.createDataFrame(list(_CITATION_CASES), "answer_id long, answer string, evidence array<string>")
+    return citations.verify_citations(rows).select("answer_id", "place", "law", "article", "status")
+
+
 def cn_numeral_table(spark, sf_dir):
     return citations.numerals(spark)
 
@@ -166,7 +189,7 @@ def html_candidate_score(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     whitelist_semi, orphan_anti, identity_reconcile, child_set_reconcile, multiset_diff, upsert_replace, delete_documents, identity_fingerprint, package_violations, verify_write, select_documents, renamed_ids, parent_sections, parent_ids, interval_overlap,
-    citation_titles, citation_extract, citation_verify, cn_numeral_table, normalized_quotes, published_dates, metadata_resolve, field_matrix, contract_violations, projection_policy, star_revenue, block_action_summary, html_candidate_score,
+    citation_titles, citation_extract, citation_verify, citation_cases, cn_numeral_table, normalized_quotes, published_dates, metadata_resolve, field_matrix, contract_violations, projection_policy, star_revenue, block_action_summary, html_candidate_score,
 )}
 
 _DATE = r"""
@@ -195,7 +218,9 @@ SQL = {
     "multiset_diff": "SELECT child_id, external_parent_id, sum(n)::BIGINT AS surplus FROM (SELECT child_id, external_parent_id, 1 AS n FROM legal_child_parent_map_v1 UNION ALL SELECT child_id, external_parent_id, -1 FROM legal_child_v2) GROUP BY ALL HAVING sum(n) <> 0",
     "upsert_replace": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "delete_documents": "SELECT document_identity, count(DISTINCT external_parent_id) AS n_parents FROM legal_parent_contract_v1 WHERE external_parent_id NOT IN (SELECT external_parent_id FROM parent_deletions) GROUP BY 1",
-    "identity_fingerprint": "SELECT count(DISTINCT document_identity) AS n FROM legal_parent_contract_v1",
+    "identity_fingerprint": """WITH h AS (SELECT sha256(v) AS h FROM (SELECT DISTINCT document_identity AS v FROM legal_parent_contract_v1 WHERE document_identity IS NOT NULL)),
+p AS (SELECT k, coalesce(sum(('0x' || substr(h, 12 * k + 1, 12))::UBIGINT), 0)::VARCHAR AS s FROM (SELECT unnest(generate_series(0, 4)) AS k) LEFT JOIN h ON true GROUP BY k)
+SELECT (SELECT count(*) FROM h) AS n, sha256((SELECT count(*) FROM h)::VARCHAR || '|' || (SELECT string_agg(s, '|' ORDER BY k) FROM p)) AS fingerprint""",
     "package_violations": r"""SELECT v AS violation, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT coalesce(regexp_matches(child_id, '^[0-9a-f]{32}$'), false) THEN 'child_id' END, CASE WHEN NOT coalesce(regexp_matches(external_parent_id, '^[0-9a-f]{64}$'), false) THEN 'external_parent_id' END,
 CASE WHEN coalesce(trim(content), '') = '' THEN 'content_blank' END, CASE WHEN length(content) > 8000 THEN 'content_too_long' END, CASE WHEN coalesce(len(section_path), 0) = 0 THEN 'section_path_empty' END, CASE WHEN source_file IS NULL THEN 'source_file_missing' END]) AS v FROM legal_child_v2) WHERE v IS NOT NULL GROUP BY 1""",
     "verify_write": """SELECT *, expected = actual AS ok FROM (SELECT 'orphan_parents' AS "check", 0::BIGINT AS expected, count(*) AS actual FROM (SELECT DISTINCT external_parent_id FROM legal_child_v2 WHERE external_parent_id IS NULL OR external_parent_id NOT IN (SELECT external_parent_id FROM legal_parent_contract_v1))
@@ -213,10 +238,12 @@ w AS (SELECT doc_id, unnest(generate_series(0, (n - 1) // 384)) AS window_no FRO
 SELECT doc_id, window_no, count(*) AS n_lines FROM s JOIN w USING (doc_id) WHERE m > 0 AND window_no * 384 < a + m AND window_no * 384 + 512 > a GROUP BY ALL""",
     "citation_titles": """WITH l AS (SELECT DISTINCT law FROM citation_verdicts WHERE law <> ''), t AS (SELECT law_id, title FROM law_titles)
 SELECT law, count(*) AS n_titles, min(law_id) AS first_law_id FROM (SELECT law, law_id, regexp_replace(law, '^中华人民共和国', '') AS c, regexp_replace(title, '^中华人民共和国', '') AS k, title FROM l, t) WHERE law = title OR (c <> '' AND k <> '' AND (c = k OR (length(c) > 2 AND contains(k, c)))) GROUP BY 1""",
-    "cn_numeral_table": """WITH d AS (SELECT '零一二三四五六七八九' AS z), n AS (SELECT unnest(generate_series(1, 200)) AS n)
-SELECT n::INTEGER AS n, CASE WHEN n < 10 THEN substr(z, n + 1, 1) WHEN n < 20 THEN '十' || CASE WHEN n % 10 > 0 THEN substr(z, n % 10 + 1, 1) ELSE '' END
- WHEN n < 100 THEN substr(z, n // 10 + 1, 1) || '十' || CASE WHEN n % 10 > 0 THEN substr(z, n % 10 + 1, 1) ELSE '' END
- ELSE substr(z, n // 100 + 1, 1) || '百' || CASE WHEN n % 100 = 0 THEN '' WHEN n % 100 < 10 THEN '零' || substr(z, n % 10 + 1, 1) ELSE substr(z, n % 100 // 10 + 1, 1) || '十' || CASE WHEN n % 10 > 0 THEN substr(z, n % 10 + 1, 1) ELSE '' END END END AS numeral FROM n, d""",
+    "citation_cases": """SELECT answer_id::BIGINT AS answer_id, place::INTEGER AS place, law, article::INTEGER AS article, status FROM (VALUES
+ (1, 0, '租赁法', 30, 'grounded'), (2, 0, '租赁法', 30, 'text_mismatch'), (3, 0, '租赁法', 31, 'grounded'), (4, 0, '租赁法', 31, 'text_mismatch'), (5, 0, '租赁法', 40, 'article_missing'), (6, 0, '海商法', 30, 'law_not_in_evidence'), (7, 0, '租赁法', 30, 'grounded'),
+ (8, 0, '租赁法', 30, 'grounded'), (8, 1, '租赁法', 31, 'grounded'), (8, 2, '租赁法', 39, 'article_missing'), (8, 3, '租赁法', 40, 'article_missing'), (9, 0, '', 30, 'grounded'), (11, 0, '租赁法', 30, 'grounded')) AS t(answer_id, place, law, article, status)""",
+    "cn_numeral_table": """WITH n AS (SELECT unnest(generate_series(1, 9999)) AS n), p AS (SELECT n, n // 1000 AS k, n // 100 % 10 AS h, n // 10 % 10 AS t, n % 10 AS u, '零一二三四五六七八九' AS z FROM n)
+SELECT n::INTEGER AS n, CASE WHEN k > 0 THEN substr(z, k + 1, 1) || '千' ELSE '' END || CASE WHEN h > 0 THEN substr(z, h + 1, 1) || '百' WHEN k > 0 AND (t > 0 OR u > 0) THEN '零' ELSE '' END
+ || CASE WHEN t = 1 AND n < 100 THEN '十' WHEN t > 0 THEN substr(z, t + 1, 1) || '十' WHEN h > 0 AND u > 0 THEN '零' ELSE '' END || CASE WHEN u > 0 THEN substr(z, u + 1, 1) ELSE '' END AS numeral FROM p""",
     "normalized_quotes": r"""WITH r AS (SELECT DISTINCT verdict_id, evidence_snippet AS e FROM citation_verdicts)
 SELECT verdict_id, regexp_replace(regexp_replace(coalesce(e, ''), '—\s*[0-9]+\s*—', '', 'g'), '[^\p{L}\p{M}\p{N}_]', '', 'g') AS plain,
  len(list_filter(string_split_regex(e, '[。；;：:!！？?]'), lambda x: regexp_replace(regexp_replace(x, '—\s*[0-9]+\s*—', '', 'g'), '[^\p{L}\p{M}\p{N}_]', '', 'g') <> ''))::INTEGER AS n_sentences FROM r""",

@@ -109,6 +109,26 @@ def test_citation_extraction():
     assert got[0]["quote"].startswith("劳动者可以解除合同") and citations.extract(None) == []
 
 
+@pytest.mark.parametrize(("answer", "want"), [
+    ("《某法》第三条至第五条对此作了规定。", [("某法", 3, None, ""), ("某法", 4, None, ""), ("某法", 5, None, "对此作了规定")]),
+    ("根据《民法典》第三十条的规定，应当履行。", [("民法典", 30, None, "")]),
+    ("《某法》第三十条和第七十七条等处理", [("某法", 30, None, ""), ("某法", 77, None, "")]),
+    ("《某法》：\n- 第8条: 甲依照本法第九条办理；\n总结一句。\n- 第九条第二款：乙。", [("某法", 8, None, "甲依照本法第九条办理"), ("某法", 9, 2, "乙")]),
+    ("第八条 无名。《劳动法》第零条，第八条 有名……", [("", 8, None, "无名"), ("劳动法", 8, None, "有名……")]),
+    ("第三十条有规定", [("", 30, None, "第三十条")]),
+    ("本法第三条至第四条", [("", 4, None, "第四条")]),
+    ("《某法》第一条至第九百条", [("某法", 1, None, ""), ("某法", 900, None, "")]),
+])
+def test_citation_tokens(answer, want):
+    assert [(c["law"], c["article"], c["clause"], c["quote"]) for c in citations.extract(answer)] == want
+
+
+def test_window_ratio_reads_the_whole_segment():
+    text = "".join(f"承租人第{k}次应当支付租金并取得收据。" for k in range(400))
+    assert len(text) > 5_000 and citations.window_ratio("出租人应当在三十日内退还押金", text + "出租人应当在三十日内退还保证金") > 0.8
+    assert citations.window_ratio("", text) == citations.window_ratio("甲", "") == 0.0 and citations.window_ratio("丙丁", "甲乙") == 0.0
+
+
 def test_citation_ladder(spark):
     evidence = "[Source Metadata]\ntitle: 中华人民共和国劳动合同法\n\n第三十条 用人单位应当按月支付工资，比例为百分之五十。拖欠的可以申请支付令。\n第三十一条 用人单位不得强迫加班。"
     answers = [(1, "《劳动合同法》第三十条：用人单位应当按月支付工资，比例为百分之五十。"), (2, "《劳动合同法》第三十条：用人单位应当按月支付工资，比例为百分之六十。"), (3, "《劳动合同法》第九十条：无。"), (4, "《仲裁法》第三条：无。"), (5, "《劳动合同法》第三十一条：用人单位不得强迫员工加班。"), (6, "《劳动合同法》第三十条")]
