@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +69,31 @@ def coverage(chunks: DataFrame, lengths: DataFrame, id_column: str = "doc_id") -
     return lengths.join(covered, id_column, "left").select(id_column, F.round(100.0 * F.coalesce("covered", F.lit(0)) / F.col("n"), 4).alias("coverage_pct"))
 
 
+def _repeated_share(size: int):
+    def share(text: str) -> float:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        hashes = np.zeros(max(0, len(codes) - size + 1), dtype=np.uint64)
+        for k in range(size if len(hashes) else 0):
+            hashes = (hashes + codes[k : k + len(hashes)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(32)
+        counts = np.unique(hashes, return_counts=True)[1]
+        return min(1.0, int(counts[counts > 1].sum()) / len(codes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([share(t) for t in batch.column(1).to_pylist()], pa.float64())], [batch.schema.names[0], "duplicate_ratio"])
+
+    return run
+
+
 def duplicate_ratio(documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """Share of a text's characters at which a repeated ``size``-character run starts, at most 1.
 
-    Runs are built from an array of characters, so a long text costs its length and not its square.
+    The runs of a text are hashed and counted where the text is, so nothing is shuffled. Blank and null texts give no
+    row, a text shorter than a run has none repeated, and a repeated row gives its share again.
     """
-    chars = documents.select(id_column, F.split(normalize_ws(text), "").alias("cs")).filter(F.size("cs") >= size)
-    runs = chars.select(id_column, F.explode(F.transform(F.sequence(F.lit(1), F.size("cs") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("cs", i, size), "")))).alias("h"))
-    counts = runs.groupBy(id_column, "h").agg(F.count("*").alias("m")).groupBy(id_column).agg(F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("repeated"))
-    lengths = documents.select(id_column, F.length(normalize_ws(text)).alias("n")).filter(F.col("n") > 0)
-    return lengths.join(counts, id_column, "left").select(id_column, F.round(F.least(F.lit(1.0), F.coalesce("repeated", F.lit(0)) / F.col("n")), 6).alias("duplicate_ratio"))
+    rows = documents.select(id_column, normalize_ws(text).alias("t")).filter(F.length("t") > 0)
+    return rows.mapInArrow(_repeated_share(size), f"{id_column} {dict(documents.dtypes)[id_column]}, duplicate_ratio double").withColumn("duplicate_ratio", F.round("duplicate_ratio", 6))
 
 
 def split_tables(tables: DataFrame, header: str = "headers", rows: str = "rows") -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import search_tokens
+from lexweave.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-DENSE_K, CHILD_K, FINAL_K = 60, 30, 5
+DENSE_K, CHILD_K, RERANK_POOL, FINAL_K = 60, 30, 12, 5
 QUERY_BLOCK = 2_000  # query vectors held by a worker at once
 DIRECT_SIMILARITY, CONTEXT_SIMILARITY, CONTEXT_ROWS = 0.99, 0.85, 3
 
@@ -83,27 +84,23 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_K, block: i
     return top_k(out.filter(F.col("similarity") > float("-inf")) if others else out, ["query_id"], "similarity", ["vec_id"], k)
 
 
-def term_counts(texts: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Term frequencies and lengths of search tokens, one row a text and term."""
-    tokens = texts.select(id_column, search_tokens(text).alias("ts")).withColumn("length", F.size("ts"))
-    return tokens.select(id_column, "length", F.explode("ts").alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
 def bm25(queries: DataFrame, documents: DataFrame, k: int = DENSE_K) -> DataFrame:
     """BM25 top-k of ``documents`` (doc_id, text) for each of ``queries`` (query_id, query) over the whole corpus.
 
-    Only terms of the queries leave the tokeniser: the documents' terms are cut to the query vocabulary by a semi-join
-    before they are counted. Negative inverse frequencies are floored at ``EPSILON`` of their mean over those terms;
-    repeated query terms count again; a term absent from the corpus adds nothing.
+    One pass counts the documents of every term, and, under the empty term, the documents and tokens in all; each task
+    adds up before the shuffle, and the table of the vocabulary is written once. A second pass counts the terms of the
+    queries only, cut by a semi-join before any shuffle. Negative inverse frequencies are floored at ``EPSILON`` of
+    the mean over the whole vocabulary; repeated query terms count again; a term absent from the corpus adds nothing.
     """
     asked = queries.select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     tokens = documents.filter(F.col("text").isNotNull()).select("doc_id", search_tokens("text").alias("ts")).withColumn("length", F.size("ts"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    counts = tokens.select("doc_id", "length", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # one row
-    idf = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    vocabulary = materialize(tokens.select("length", F.explode(F.concat(F.array_distinct("ts"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("n_tokens")))
+    size = vocabulary.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("n_tokens") / F.col("df")).alias("avg_length"))  # one row
+    idf = vocabulary.filter("term <> ''").select("term", "df").crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
-    weights = idf.crossJoin(F.broadcast(floor)).select("term", "avg_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    terms = asked.select("term").distinct()
+    weights = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avg_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    counts = tokens.select("doc_id", "length", F.explode("ts").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = counts.join(weights, "term").select("doc_id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("gain") * F.col("qf")), 6).alias("score"))
     return top_k(scored, ["query_id"], "score", ["doc_id"], k)
@@ -169,6 +166,22 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = lexical
     return scored.withColumn("final_rank", F.row_number().over(order)).filter(F.col("final_rank") <= k)
 
 
+def hybrid(query_vectors: DataFrame, questions: DataFrame, vectors: DataFrame, children: DataFrame, parents: DataFrame, dense_k: int = DENSE_K, child_k: int = CHILD_K, pool: int = RERANK_POOL, k: int = FINAL_K) -> DataFrame:
+    """Dense hits, BM25 over them, both fused, their parents, and the parents reranked: 60, 60, 30, pool, 5.
+
+    ``query_vectors`` and ``vectors``: vec_id, embedding; ``questions``: query_id (a vec_id), query; ``children``:
+    doc_id (a vec_id), parent_id, text; ``parents``: parent_id, content. Texts are joined to at most ``dense_k`` hits a
+    query. A question without a vector, a child without a text or parent, and a blank parent fall out.
+    """
+    hits = materialize(dense_topk(query_vectors, vectors, dense_k).select("query_id", F.col("vec_id").alias("doc_id"), F.col("rank").alias("position")))
+    asked = questions.filter(F.trim("query") != "").select("query_id", "query")
+    texts = children.filter(F.col("text").isNotNull()).select("doc_id", "parent_id", "text")
+    candidates = materialize(hits.join(asked, "query_id").join(texts, "doc_id"))
+    fused = rrf([candidates.select("query_id", "doc_id", F.col("position").alias("rank")), bm25_candidates(candidates).select("query_id", "doc_id", "rank")], cut=child_k)
+    recalled = recall_parents(fused.join(candidates.select("query_id", "query", "doc_id", "parent_id"), ["query_id", "doc_id"]).select("query_id", "query", "parent_id", "rank"), parents)
+    return rerank(recalled.select("query_id", "query", F.col("parent_id").alias("doc_id"), F.col("content").alias("text"), F.col("parent_rank").alias("rank")), pool=pool, k=k).select("query_id", F.col("doc_id").alias("parent_id"), "rank", "rerank_score", "final_rank")
+
+
 def faq_route(hits: DataFrame, direct: float = DIRECT_SIMILARITY, context: float = CONTEXT_SIMILARITY, rows: int = CONTEXT_ROWS) -> DataFrame:
     """Route of each query by its question hits (query_id, similarity, rank, answer): direct, context or none."""
     best = F.max(F.when((F.col("rank") == 1) & (F.col("similarity") >= direct) & (F.trim("answer") != ""), F.col("answer")))

@@ -44,6 +44,6 @@ SQL = {
 CASE WHEN status <> '' THEN 'legal_status: ' || status END, 'source_file: doc_' || doc_id || '.txt') AS header FROM documents""",
     "needle_variants": "SELECT DISTINCT verdict_id, article, format('{:,}', article::BIGINT * 1000) || '元/' || format('{:,}', article::BIGINT * 1000) || '/' || (article::BIGINT * 1000) AS needles FROM citation_verdicts",
     "ground_truth_hits": """WITH p AS (SELECT string_split(document_identity, '@')[1] AS k, external_parent_id, any_value(content) AS content FROM legal_parent_contract_v1 GROUP BY 1, 2)
-SELECT item_id AS query_id, count(*) AS n, count(*) FILTER (contains(lower(content), lower(substr(passage, 1, 12)))) AS n_hits FROM eval_items JOIN p ON k = target_doc GROUP BY 1""",
+SELECT item_id AS query_id, count(*) AS n, count(*) FILTER (contains(lower(content), lower(passage))) AS n_hits FROM eval_items JOIN p ON k = target_doc GROUP BY 1""",
     "determinism_gate": "SELECT 0::BIGINT AS n_differing",
 }

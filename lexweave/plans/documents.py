@@ -142,7 +142,8 @@ SQL = {
     "chunk_ids": f"""WITH {_ALL} SELECT doc_id, chunk_index, substr(sha256('CMCV1|' || sha256(content) || '|' || doc_id || '|' || chunk_index || '|' || start || '|' || "end"), 1, 32) AS chunk_id FROM c""",
     "chunk_length_stats": _STATS + "SELECT * FROM st",
     "chunk_rollup": _STATS + "SELECT 'all' AS scope, sum(chunks)::BIGINT AS total_chunks, round(sum(avg_chars * chunks) / sum(chunks), 4) AS avg_chars, round(sum(median_chars * chunks) / sum(chunks), 4) AS median_chars, round(sum(p95_chars * chunks) / sum(chunks), 4) AS p95_chars, min(min_chars) AS min_chars, max(max_chars) AS max_chars FROM st",
-    "chunk_coverage": f"WITH {_ALL} SELECT doc_id, 100.0::DOUBLE AS coverage_pct FROM c GROUP BY doc_id",
+    "chunk_coverage": f"""WITH {_ALL}, k AS (SELECT doc_id, n, start, "end", coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT doc_id, round(100.0::DOUBLE * sum(greatest("end" - greatest(start, before), 0)) / any_value(n), 4) AS coverage_pct FROM k GROUP BY doc_id""",
     "shingle_duplicate_ratio": f"""
 WITH t AS (SELECT doc_id, {norm_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, substr(t, i, 8) AS s FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 7)) AS i FROM t WHERE length(t) >= 8)),

@@ -42,8 +42,8 @@ def bm25_topk(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     items, texts = _texts(spark, sf_dir)
-    hits = materialize(retrieval.bm25(items, texts, k=30).select("query_id", "doc_id", F.col("rank").alias("position")))
-    return hits.join(items.select("query_id", "query"), "query_id").join(texts, "doc_id")
+    hits = retrieval.bm25(items, texts, k=30).select("query_id", "doc_id", F.col("rank").alias("position"))
+    return materialize(hits.join(items.select("query_id", "query"), "query_id").join(texts, "doc_id"))  # 30 texts a query, read four times
 
 
 def bm25_candidates(spark, sf_dir):
@@ -55,6 +55,16 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.rrf([first.select("query_id", "doc_id", F.col("position").alias("rank")), retrieval.bm25_candidates(first).select("query_id", "doc_id", "rank")])
 
 
+def hybrid_final(spark, sf_dir):
+    """Titles of the documents whose id is divisible by 50 as questions; three documents in a row share a parent."""
+    queries, rows = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "text")
+    questions = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    children = docs.select("doc_id", F.expr("doc_id div 3").alias("parent_id"), "text")
+    parents = docs.filter("doc_id % 3 = 0").select(F.expr("doc_id div 3").alias("parent_id"), F.col("text").alias("content"))
+    return retrieval.hybrid(queries, questions, rows, children, parents).select("query_id", "parent_id", "rerank_score", "final_rank")
+
+
 def rerank_final(spark, sf_dir):
     first = _candidates(spark, sf_dir).select("query_id", "query", "doc_id", "text", F.col("position").alias("rank"))
     return retrieval.rerank(first, pool=12).select("query_id", "doc_id", "rerank_score", "final_rank")
@@ -126,7 +136,7 @@ def latency_summary(spark, sf_dir):
     return evaluation.latency_summary(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, similarity_quantiles, bm25_topk, bm25_candidates, rrf_fusion, rerank_final, parent_first_hit, faq_route, route_precedence, recall_mrr, failure_samples, bootstrap_interval, release_gate, embedding_quality, latency_summary)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, similarity_quantiles, bm25_topk, bm25_candidates, rrf_fusion, rerank_final, hybrid_final, parent_first_hit, faq_route, route_precedence, recall_mrr, failure_samples, bootstrap_interval, release_gate, embedding_quality, latency_summary)}
 
 
 def _dense(where: str = "", k: int = 10) -> str:
@@ -145,7 +155,7 @@ q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, un
 tk AS (SELECT {doc} AS doc_id, {_TOKENS.format(text)} AS ts FROM {source} WHERE {text} IS NOT NULL),
 sz AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM tk),
 tf AS (SELECT doc_id, term, len AS l, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM tk) GROUP BY 1),
 raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw, a FROM df, sz),
 idf AS (SELECT term, a, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) * qf), 6) AS score
@@ -154,7 +164,8 @@ bm AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id
 
 
 _CANDIDATES = f"""WITH {_bm25('documents', 'doc_id', 'text', 30)},
-cand AS (SELECT query_id, doc_id, rank AS position, query, text FROM bm JOIN (SELECT item_id AS query_id, query FROM eval_items) USING (query_id) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+cand AS (SELECT query_id, doc_id, rank AS position, query, text FROM bm JOIN (SELECT item_id AS query_id, query FROM eval_items) USING (query_id) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),"""
+_OVER = f"""
 ctk AS (SELECT query_id, doc_id, {_TOKENS.format('text')} AS ts FROM cand),
 cav AS (SELECT query_id, avg(len(ts)) AS a, count(*) AS n FROM ctk GROUP BY 1),
 ctf AS (SELECT query_id, doc_id, term, l, count(*) AS tf FROM (SELECT query_id, doc_id, len(ts) AS l, unnest(ts) AS term FROM ctk) GROUP BY ALL),
@@ -164,6 +175,7 @@ cs AS (SELECT query_id, doc_id, sum(qf * (CASE WHEN raw < 0 THEN floor ELSE raw
   FROM q JOIN craw USING (query_id, term) JOIN cfl USING (query_id) JOIN ctf USING (query_id, term) GROUP BY ALL),
 cb AS (SELECT c.query_id, c.doc_id, CASE WHEN n > 1 THEN round(coalesce(s, 0), 6) END AS score, position FROM cand c JOIN cav USING (query_id) LEFT JOIN cs USING (query_id, doc_id)),
 cr AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, position))::INTEGER AS rank FROM cb)"""
+_CANDIDATES += _OVER
 
 _RESULTS = f"""WITH {_dense(k=11)},
 hits AS (SELECT query_id, vec_id, s FROM top WHERE query_id <> vec_id),
@@ -180,7 +192,7 @@ SQL = {
     "dense_topk": f"WITH {_dense()} SELECT query_id, vec_id, round(s, 6) AS similarity, r::INTEGER AS rank FROM top",
     "dense_topk_filtered": f"WITH {_dense('AND c.label IN (1, 3, 5)', 5)} SELECT query_id, vec_id, round(s, 6) AS similarity, r::INTEGER AS rank FROM top",
     "similarity_quantiles": """
-WITH p AS (SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 0 AND a.vec_id < b.vec_id)
+WITH p AS (SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND (b.vec_id % 50 <> 0 OR a.vec_id < b.vec_id))
 SELECT count(*) AS n_pairs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99, round(max(s), 6) AS p100,
   round(least(max(s) + 0.03::DOUBLE, 0.97::DOUBLE), 6) AS threshold FROM p""",
     "bm25_topk": f"WITH {_bm25('documents', 'doc_id', 'text', 10)} SELECT * FROM bm",
@@ -192,6 +204,17 @@ SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER
     "rerank_final": _CANDIDATES + f""",
 ov AS (SELECT query_id, doc_id, position, round(len(list_intersect(list_distinct({_TOKENS.format('query')}), list_distinct({_TOKENS.format('text')})))::DOUBLE / len(list_distinct({_TOKENS.format('query')})), 6) AS rerank_score FROM cand WHERE position <= 12)
 SELECT query_id, doc_id, rerank_score, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, position))::INTEGER AS final_rank FROM ov QUALIFY final_rank <= 5""",
+    "hybrid_final": f"""WITH {_dense(k=60)},
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT doc_id AS query_id, unnest({_TOKENS.format('title')}) AS term FROM documents WHERE doc_id % 50 = 0 AND trim(title) <> '') GROUP BY ALL),
+cand AS (SELECT t.query_id, t.vec_id AS doc_id, r AS position, a.title AS query, d.text FROM top t JOIN documents a ON a.doc_id = t.query_id JOIN documents d ON d.doc_id = t.vec_id WHERE trim(a.title) <> '' AND d.text IS NOT NULL),
+{_OVER},
+li AS (SELECT query_id, doc_id, position AS rank, 0 AS list_no FROM cand UNION ALL SELECT query_id, doc_id, rank, 1 FROM cr),
+fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) FILTER (list_no = 0) AS r0 FROM li GROUP BY ALL),
+f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0, doc_id) AS rank FROM fu QUALIFY rank <= 30),
+p AS (SELECT query_id, doc_id // 3 AS parent_id, min(rank) AS rank FROM f GROUP BY ALL),
+pr AS (SELECT p.query_id, p.parent_id, a.title AS query, d.text, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS prank FROM p JOIN documents d ON d.doc_id = 3 * p.parent_id JOIN documents a ON a.doc_id = p.query_id WHERE trim(d.text) <> ''),
+ov AS (SELECT *, CASE WHEN len(list_distinct({_TOKENS.format('query')})) > 0 THEN round(len(list_intersect(list_distinct({_TOKENS.format('query')}), list_distinct({_TOKENS.format('text')})))::DOUBLE / len(list_distinct({_TOKENS.format('query')})), 6) END AS rerank_score FROM pr WHERE prank <= 12)
+SELECT query_id, parent_id, rerank_score, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, prank))::INTEGER AS final_rank FROM ov QUALIFY final_rank <= 5""",
     "parent_first_hit": f"""WITH ch AS (SELECT DISTINCT child_id, external_parent_id, content FROM legal_child_v2), {_bm25('ch', 'child_id', 'content', 20)},
 p AS (SELECT external_parent_id AS parent_id, max(content) AS content FROM legal_parent_contract_v1 GROUP BY 1),
 f AS (SELECT query_id, external_parent_id AS parent_id, doc_id AS child_id, rank FROM bm JOIN ch ON child_id = doc_id QUALIFY row_number() OVER (PARTITION BY query_id, external_parent_id ORDER BY rank) = 1)

@@ -96,7 +96,7 @@ SQL = {
     "exact_cache_ttl": """WITH r AS (SELECT user_id AS key, event_id AS read_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'view'), w AS (SELECT user_id AS key, epoch_us(ts) AS t FROM events WHERE event_type = 'view')
 SELECT r.key, read_id, coalesce(r.t - max(w.t) < 86400000000, false) AS hit FROM r LEFT JOIN w ON w.key = r.key AND w.t <= r.t GROUP BY r.key, read_id, r.t""",
     "semantic_cache_lookup": """SELECT query_id, vec_id, round(s, 6) AS similarity, s >= 0.5 AS cache_hit FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s
-FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) = 1""",
+FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) = 1""",
     "cache_keys": "SELECT item_id, substr(sha1(trim(query)), 1, 16) AS cache_key FROM eval_items",
     "as_of_preceding": """SELECT user_id, event_id, preceding FROM (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS preceding FROM events) WHERE event_type = 'error'""",
