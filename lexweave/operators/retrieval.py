@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import search_tokens
-from lexweave.session import materialize
+from lexweave.session import materialize, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -84,6 +85,28 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_K, block: i
     return top_k(out.filter(F.col("similarity") > float("-inf")) if others else out, ["query_id"], "similarity", ["vec_id"], k)
 
 
+_TOKEN = re.compile(r"[一-鿿]|[a-zA-Z]+|[0-9]+")  # as ``search_tokens``
+
+
+def term_table(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``length`` and the distinct search tokens of each text as ``terms`` (term, tf), counted where the text is.
+
+    Two tokens out of three repeat, so a text leaves this far smaller than exploded. A null text has no terms.
+    """
+    types = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+        for batch in batches:
+            counts = [Counter(_TOKEN.findall(t.lower())) if t else Counter() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
+            terms = pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())], ["term", "tf"])
+            length = pa.array([c.total() for c in counts], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), length, pa.ListArray.from_arrays(pa.array(ends), terms).cast(kind)], [*keys, "length", "terms"])
+
+    return texts.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", length int, terms array<struct<term:string,tf:int>>")
+
+
 def bm25(queries: DataFrame, documents: DataFrame, k: int = DENSE_K) -> DataFrame:
     """BM25 top-k of ``documents`` (doc_id, text) for each of ``queries`` (query_id, query) over the whole corpus.
 
@@ -93,14 +116,14 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = DENSE_K) -> DataFram
     the mean over the whole vocabulary; repeated query terms count again; a term absent from the corpus adds nothing.
     """
     asked = queries.select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    tokens = documents.filter(F.col("text").isNotNull()).select("doc_id", search_tokens("text").alias("ts")).withColumn("length", F.size("ts"))
-    vocabulary = materialize(tokens.select("length", F.explode(F.concat(F.array_distinct("ts"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("n_tokens")))
+    counted = term_table(documents.filter(F.col("text").isNotNull()), ["doc_id"])
+    vocabulary = materialize(counted.select("length", F.explode(F.concat("terms.term", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("n_tokens")))
     size = vocabulary.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("n_tokens") / F.col("df")).alias("avg_length"))  # one row
     idf = vocabulary.filter("term <> ''").select("term", "df").crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
     terms = asked.select("term").distinct()
     weights = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avg_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    counts = tokens.select("doc_id", "length", F.explode("ts").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    counts = counted.select("doc_id", "length", F.inline("terms")).join(terms, "term", "left_semi")
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = counts.join(weights, "term").select("doc_id", "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("gain") * F.col("qf")), 6).alias("score"))
     return top_k(scored, ["query_id"], "score", ["doc_id"], k)
@@ -111,16 +134,17 @@ def bm25_candidates(candidates: DataFrame) -> DataFrame:
 
     ``candidates``: query_id, query, doc_id, text, position. A query with one candidate keeps it, unscored.
     """
-    sized = candidates.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    tokens = sized.withColumn("ts", search_tokens("text")).withColumn("length", F.size("ts"))
-    averages = tokens.groupBy("query_id").agg(F.avg("length").alias("avg_length"), F.first("n").alias("n"))
-    tf = tokens.select("query_id", "doc_id", "length", F.explode("ts").alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(averages, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"))
+    tokens = term_table(spread(candidates), ["query_id", "doc_id"])
+    sizes = tokens.groupBy("query_id").agg(F.avg("length").alias("avg_length"), F.count("*").alias("n"))
+    df = tokens.select("query_id", F.explode("terms.term").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     asked = candidates.select("query_id", "query").distinct().select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weights = asked.join(df, ["query_id", "term"]).join(floor, "query_id").withColumn("idf", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")))
+    # one row a term of the query, and one a query with the mean over all terms of its candidates
+    known = df.join(asked, ["query_id", "term"], "left").groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"), F.collect_list(F.when(F.col("qf").isNotNull(), F.struct("term", "qf", "raw", "avg_length"))).alias("terms"))
+    weights = known.select("query_id", "floor", F.explode("terms").alias("t")).select("query_id", "t.*", F.when(F.col("t.raw") < 0, F.col("floor")).otherwise(F.col("t.raw")).alias("idf"))
+    tf = tokens.select("query_id", "doc_id", "length", F.inline("terms")).join(asked.select("query_id", "term"), ["query_id", "term"], "left_semi")
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scores = weights.join(tf, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("s"))
+    sized = candidates.select("query_id", "doc_id", "position").join(sizes.select("query_id", "n"), "query_id")
     scored = sized.select("query_id", "doc_id", "position", "n").join(scores, ["query_id", "doc_id"], "left").withColumn("score", F.when(F.col("n") > 1, F.round(F.coalesce("s", F.lit(0.0)), 6)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "position")
     return scored.select("query_id", "doc_id", "score", F.row_number().over(order).alias("rank"))
