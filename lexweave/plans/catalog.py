@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.plans import answers, documents, ingest, references, retrieval, state, structure
+from lexweave.plans import answers, documents, ingest, records, references, retrieval, state, structure
 
-MODULES = [references, documents, retrieval, state, ingest, structure, answers]
+MODULES = [references, documents, retrieval, state, ingest, structure, answers, records]
 
 
 def queries() -> dict:

@@ -31,14 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan that has fewer partitions than the cluster has cores, dealt out to all of them.
+SPREAD_BYTES = 10_000_000_000  # a larger table is never dealt out: its scan has partitions enough, or maxPartitionBytes is to be set
+
+
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """A small scan that has fewer partitions than the cluster has cores, dealt out to all of them.
 
     Small files with long texts come as one or two partitions, and what reads the texts would run on as many cores. A
-    scan of enough partitions is left as it is.
+    scan of enough partitions, or of more than ``most`` bytes by the optimiser's estimate, is left as it is, so no
+    large table is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df if int(str(size)) > most else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
