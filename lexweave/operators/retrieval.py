@@ -134,7 +134,8 @@ def bm25_candidates(candidates: DataFrame) -> DataFrame:
 
     ``candidates``: query_id, query, doc_id, text, position. A query with one candidate keeps it, unscored.
     """
-    tokens = term_table(spread(candidates), ["query_id", "doc_id"])
+    counted = term_table(spread(candidates.select("doc_id", "text").dropDuplicates(["doc_id"])), ["doc_id"])  # a text that many queries hit is read once
+    tokens = candidates.select("query_id", "doc_id").join(counted, "doc_id")
     sizes = tokens.groupBy("query_id").agg(F.avg("length").alias("avg_length"), F.count("*").alias("n"))
     df = tokens.select("query_id", F.explode("terms.term").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     asked = candidates.select("query_id", "query").distinct().select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))

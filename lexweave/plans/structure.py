@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexweave.operators import blocks, chunking
+from lexweave.plans.documents import norm_sql, strip_sql
 from lexweave.session import shared_folder, spread, table
 
 
@@ -77,7 +78,17 @@ def stream_memory(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (markdown_blocks, block_types, dominant_block_type, forward_fill_structure, structure_chunks, block_cleaner, table_parts, stream_tumbling, stream_rate_limit, stream_memory)}
 
+_MARKDOWN = rf"""WITH l AS (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1)) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, n, ls[n + 1] AS line, length(regexp_extract(ls[n + 1], '^(#{{1,9}})\s+\S', 1)) AS level, {strip_sql('ls[n + 1]')} = '' AS blank FROM l),
+f AS (SELECT *, (level > 0 OR blank OR coalesce(lag(level) OVER w > 0 OR lag(blank) OVER w, true))::INT AS fresh FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM f),
+p AS (SELECT doc_id, g, max(level) AS level, string_agg(line, chr(10) ORDER BY n) AS raw FROM s WHERE NOT blank GROUP BY doc_id, g),
+md AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INTEGER AS "order", CASE WHEN level > 0 THEN 'HEADING' WHEN regexp_matches(raw, '^\s*([-*+•]|\d+[.)、]|[（(][一二三四五六七八九十\d]+[)）])\s*\S') THEN 'LIST_ITEM' ELSE 'PARAGRAPH' END AS type,
+  CASE WHEN level > 0 THEN level::INTEGER END AS level, {norm_sql("CASE WHEN level > 0 THEN regexp_replace(raw, '^#{1,9}" + chr(92) + "s+', '') ELSE raw END")} AS text FROM p)
+"""
+
 SQL = {
+    "block_types": _MARKDOWN + "SELECT type, count(*) AS n_blocks, count(DISTINCT doc_id) AS n_documents FROM md GROUP BY 1",
     "table_parts": """WITH t AS (SELECT DISTINCT page_id, candidate_no, string_split(text, chr(10)) AS ls FROM page_candidates WHERE tag = 'table'),
 g AS (SELECT *, len(ls) AS n, CASE WHEN len(ls) <= 20 OR list_sum(list_transform(ls, lambda x: length(x))) <= 800 THEN len(ls) ELSE 10 END AS size FROM t),
 p AS (SELECT page_id, candidate_no, n, size, unnest(generate_series(0, (n - 1) // size)) AS part FROM g)
