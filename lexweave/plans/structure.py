@@ -88,6 +88,14 @@ md AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::
 """
 
 SQL = {
+    "markdown_blocks": _MARKDOWN + 'SELECT doc_id, "order", type, length(text)::INTEGER AS n_chars FROM md',
+    "dominant_block_type": _MARKDOWN + """, c AS (SELECT doc_id, type, count(*) AS n, min("order") AS first FROM md WHERE type NOT IN ('METADATA', 'UNKNOWN') GROUP BY ALL)
+SELECT doc_id, type AS dominant_type FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1""",
+    "forward_fill_structure": _MARKDOWN + r""", m AS (SELECT doc_id, "order", nullif(regexp_extract(text, '^\s*(第[一二三四五六七八九十百千零〇\d]+章)', 1), '') AS c, nullif(regexp_extract(text, '^\s*(第[一二三四五六七八九十百千零〇\d]+节)', 1), '') AS s,
+  nullif(regexp_extract(text, '^\s*(第[一二三四五六七八九十百千零〇\d]+条)', 1), '') AS a FROM md),
+w AS (SELECT doc_id, "order", last_value(c IGNORE NULLS) OVER v AS chapter, last_value(s IGNORE NULLS) OVER v AS s, last_value(a IGNORE NULLS) OVER v AS a, coalesce(max(CASE WHEN c IS NOT NULL THEN "order" END) OVER v, -1) AS pc,
+  coalesce(max(CASE WHEN s IS NOT NULL THEN "order" END) OVER v, -1) AS ps, coalesce(max(CASE WHEN a IS NOT NULL THEN "order" END) OVER v, -1) AS pa FROM m WINDOW v AS (PARTITION BY doc_id ORDER BY "order" ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, "order", chapter, CASE WHEN ps >= pc THEN s END AS section, CASE WHEN pa >= greatest(pc, ps) THEN a END AS article FROM w""",
     "block_types": _MARKDOWN + "SELECT type, count(*) AS n_blocks, count(DISTINCT doc_id) AS n_documents FROM md GROUP BY 1",
     "table_parts": """WITH t AS (SELECT DISTINCT page_id, candidate_no, string_split(text, chr(10)) AS ls FROM page_candidates WHERE tag = 'table'),
 g AS (SELECT *, len(ls) AS n, CASE WHEN len(ls) <= 20 OR list_sum(list_transform(ls, lambda x: length(x))) <= 800 THEN len(ls) ELSE 10 END AS size FROM t),
